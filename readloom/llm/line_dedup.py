@@ -31,14 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom import ship
+from readloom.llm import bloom
 from readloom.llm.common import BLANK_BYTES, Scratch
 
 ship(__name__)
 
-SEGMENT = 1 << 15
-PROBES = 3
-
-
 def line_keys(text: str, least: int) -> list[bytes | None]:
     """A key for each line; None where the key is shorter than `least` code points."""
     out: list[bytes | None] = []
@@ -54,55 +51,20 @@ def digest(key: bytes) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
 
 
-def positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """The filter's positions of 64-bit hashes, one row a hash."""
-    h = h.astype(np.uint64)
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(h + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)], 1).astype(np.int64)
-
-
 def row_digests(text: str | None, least: int) -> list[tuple[int, int]]:
     return list({digest(k) for k in line_keys(text or "", least) if k is not None})
 
 
-def twice_filter(df: DataFrame, id_col: str, text_col: str, least: int, bits: int) -> np.ndarray:
-    """The merged twice-seen filter as packed bits."""
+def key_hashes(docs: DataFrame, least: int) -> DataFrame:
+    """Half of each digest, once a row of (doc_id, text)."""
 
-    def once_and_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if doc is not None and (got := row_digests(text, least)):
-                    parts.append(np.array([lo for _, lo in got], np.int64))
-        if not parts:
-            return
-        seen, n = np.unique(np.concatenate(parts), return_counts=True)
-        once = np.unique(positions(seen, bits))
-        twice = np.unique(positions(seen[n > 1], bits))
-        seg = np.unique(once // SEGMENT)
-        cut = lambda a: np.split((a % SEGMENT).astype(np.uint16), np.searchsorted(a // SEGMENT, seg[1:]))
-        for at in range(0, len(seg), 2000):
-            rows = slice(at, at + 2000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seg[rows], pa.int64()), *(pa.array([x.tobytes() for x in cut(a)[rows]], pa.binary()) for a in (once, twice))], names=["segment", "once", "twice"]
-            )
-
-    def merge(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
-        for batch in rows:
-            for o, t in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist(), strict=True):
-                now = np.frombuffer(o, np.uint16)
-                twice[now[once[now]]] = True
-                once[now] = True
-                twice[np.frombuffer(t, np.uint16)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["segment", "bits"])
-
-    parts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(once_and_twice, "segment long, once binary, twice binary")
-    merged = parts.groupBy("segment").applyInArrow(merge, "segment long, bits binary")
-    out = np.zeros((max(1, bits // SEGMENT), SEGMENT // 8), np.uint8)
-    for row in merged.toLocalIterator():  # at most bits / 8 bytes in all
-        out[row.segment] = np.frombuffer(row.bits, np.uint8)
-    return out.reshape(-1)
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            got = [lo for doc, text in rows if doc is not None for _, lo in row_digests(text, least)]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], names=["h"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "h long")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: int = 20, copies: int = 3,
@@ -117,18 +79,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     carry = carry or []
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)))
     wide = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema]
-    # 128 bits a document, about ten for each line of usual texts
-    bits = 1 << int(np.clip(np.ceil(np.log2(128 * max(1, df.count()))), 16, np.log2(max_filter_bits)))
-    filt = spark.sparkContext.broadcast(twice_filter(docs, "doc_id", "text", least, bits))
-
-    def hit(lo: np.ndarray) -> np.ndarray:
-        p = positions(lo, bits)
-        return ((filt.value[p >> 3] >> (7 - (p & 7))) & 1).all(1)
+    bits = bloom.bits_for(10 * df.count(), max_filter_bits)  # ten lines in a usual document
+    filt = spark.sparkContext.broadcast(bloom.build(key_hashes(docs, least), bits, twice=True))
 
     def suspected(doc, text) -> list[tuple[int, int]]:
         if doc is None or not (got := row_digests(text, least)):
             return []
-        keep = hit(np.array([lo for _, lo in got], np.int64))
+        keep = bloom.may_hold(filt.value, np.array([lo for _, lo in got], np.int64))
         return [g for g, k in zip(got, keep, strict=True) if k]
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,6 +51,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.near_dup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.sharding import shard_documents
 
@@ -59,5 +65,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_classifier, op3_best_fit_packing, op5_line_dedup, op6_quality_rules, op10_sharding)
+    f.__name__: f for f in (op2_quality_classifier, op3_best_fit_packing, op5_line_dedup, op6_quality_rules, op7_minhash_near_dedup, op10_sharding)
 }
