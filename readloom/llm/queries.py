@@ -35,6 +35,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.decontam import find_leaks
+
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.line_dedup import dedup_lines
 
@@ -57,6 +63,19 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.suffix_dedup import repeated_passages
+
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.license_scan import plain_sample, scan_licenses, train
+
+    docs = read(spark, sf_dir, "documents")
+    return scan_licenses(docs, train(plain_sample(docs)))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.sharding import shard_documents
 
@@ -65,5 +84,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_classifier, op3_best_fit_packing, op5_line_dedup, op6_quality_rules, op7_minhash_near_dedup, op10_sharding)
+    f.__name__: f for f in (op2_quality_classifier, op3_best_fit_packing, op4_benchmark_decontamination, op5_line_dedup, op6_quality_rules, op7_minhash_near_dedup, op8_suffix_dedup, op9_license_scans, op10_sharding)
 }
