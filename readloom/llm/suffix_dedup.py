@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,19 +54,18 @@ def rolled(a: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words, by doubling."""
     if len(a) < n:
         return np.zeros(0, np.uint64)
-    out, done, shift = None, 0, 0
-    block, size, power = a, 1, MIX
+    out, shift = None, 0
+    block, size, power = a, 1, int(MIX)
     left = n
     while left:
         if left & 1:
             part = block[shift:shift + len(a) - n + 1]
-            out = part if out is None else out * power + part
+            out = part if out is None else out * np.uint64(power) + part
             shift += size
         left >>= 1
         if left:
-            block = block[:-size] * power + block[size:]
-            size, power = size * 2, power * power
-        done += 1
+            block = block[:-size] * np.uint64(power) + block[size:]
+            size, power = size * 2, power * power % (1 << 64)
     return mixed(out)
 
 
@@ -184,6 +184,10 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if len(other):
             edge[other[-1]] = True
         pos = t.column("pos").to_numpy()
+        bare = pa.array(ok & ~edge)  # settled: the words around it aren't needed again
+        for c in ("after", "before"):
+            i = t.schema.get_field_index(c)
+            t = t.set_column(i, c, pc.if_else(bare, pa.scalar(None, pa.binary()), t.column(c)))
         out = t.append_column("start", pa.array((pos - k).astype(np.int32))).append_column("end", pa.array((pos + r).astype(np.int32))).append_column("ok", pa.array(ok)).append_column("edge", pa.array(edge))
         yield from out.filter(pa.array(ok | edge | (mode[0] == "all"))).to_batches(max_chunksize=5000)
 
