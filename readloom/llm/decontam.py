@@ -247,26 +247,19 @@ def leaks_in(texts: list[str | None], index: Index) -> list[list[tuple[int, int,
 def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
                part: int = 12, rate: float = 0.2, recall: float = 0.99, walks: int = 8, picks: int = 4, most_repeats: int = 64, block_items: int = 20_000, seed: int = 5) -> DataFrame:
     """A row for each document and item that it leaks: doc_id, item_id, distance, item_words, start_word, end_word."""
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, distance int, item_words int, start_word int, end_word int"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     names = ["doc_id", "item_id", "distance", "item_words", "start_word", "end_word"]
-    out = spark.createDataFrame([], schema)
-    one_each = items.where(F.col(item_text_col).isNotNull()).select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).distinct().orderBy("i", "t")
-    for block in batched(one_each.toLocalIterator(), block_items):
-        index = prepare([(r.i, r.t) for r in block], part=part, rate=rate, recall=recall, walks=walks, picks=picks, most=most_repeats, seed=seed)
-        if index is None:
-            continue
-        sent = spark.sparkContext.broadcast(index)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for sent in _indexes(items, item_id_col, item_text_col, block_items, part=part, rate=rate, recall=recall, walks=walks, picks=picks, most=most_repeats, seed=seed):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at, got = [], []
-                for first in range(0, b.num_rows, 250):
-                    for i, found in enumerate(leaks_in(b.column(1).slice(first, 250).to_pylist(), sent.value), first):
-                        at += [i] * len(found)
-                        got += found
+                for i, found in enumerate(_in_steps(b.column(1), sent.value)):
+                    at += [i] * len(found)
+                    got += found
                 cols = np.array([x[1:] for x in got], np.int32).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(at, pa.int64())), pa.array([x[0] for x in got], pa.int64()), *(pa.array(cols[:, j]) for j in range(4))], names=names
@@ -276,7 +269,28 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     return out
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of the documents that leak no item, with their columns as they are."""
-    dirty = find_leaks(docs, items, id_col=id_col, **how).select(F.col("doc_id").alias("_leaks")).distinct()
-    return docs.join(dirty, F.col(id_col) == F.col("_leaks"), "left_anti")
+def _in_steps(texts: pa.Array, index: Index) -> Iterator[list]:
+    for first in range(0, len(texts), 250):
+        yield from leaks_in(texts.slice(first, 250).to_pylist(), index)
+
+
+def _indexes(items: DataFrame, id_col: str, text_col: str, block_items: int, **how) -> Iterator:
+    """A broadcast index for each block of items."""
+    one_each = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).distinct().orderBy("i", "t")
+    for block in batched(one_each.toLocalIterator(), block_items):
+        index = prepare([(r.i, r.t) for r in block], **how)
+        if index is not None:
+            yield items.sparkSession.sparkContext.broadcast(index)
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
+                    part: int = 12, rate: float = 0.2, recall: float = 0.99, walks: int = 8, picks: int = 4, most_repeats: int = 64, block_items: int = 20_000, seed: int = 5) -> DataFrame:
+    """The rows of the documents that leak no item, with all their columns, without a shuffle."""
+    for sent in _indexes(items, item_id_col, item_text_col, block_items, part=part, rate=rate, recall=recall, walks=walks, picks=picks, most=most_repeats, seed=seed):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, at=docs.columns.index(text_col)) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not found for found in _in_steps(b.column(at), sent.value)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

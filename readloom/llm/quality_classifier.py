@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readloom import ship
 from readloom.llm import trees
@@ -81,8 +82,12 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, penalt
 
 
 def score_quality(df: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3) -> DataFrame:
-    """One row a row: doc_id, held_out, score and predicted, then the statistics."""
+    """One row a row: doc_id, held_out, score and predicted, then the statistics.
+
+    The id may be a struct of a whole row, which then passes through; held_out is null for it.
+    """
     out = with_stats(df, id_col, text_col).withColumn("score", rules.column())
+    plain = isinstance(df.schema[id_col].dataType, T.AtomicType)
     return out.select(
-        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *COUNTS, *RATIOS,
+        "doc_id", (is_held_out(F.col("doc_id")) if plain else F.lit(None).cast("boolean")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *COUNTS, *RATIOS,
     )

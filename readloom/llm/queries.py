@@ -22,6 +22,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.html_extract import extract_pages
+
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.quality_classifier import fit_rules, score_quality
 
@@ -84,5 +90,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_classifier, op3_best_fit_packing, op4_benchmark_decontamination, op5_line_dedup, op6_quality_rules, op7_minhash_near_dedup, op8_suffix_dedup, op9_license_scans, op10_sharding)
+    f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_best_fit_packing, op4_benchmark_decontamination, op5_line_dedup, op6_quality_rules, op7_minhash_near_dedup, op8_suffix_dedup, op9_license_scans, op10_sharding)
 }
