@@ -28,10 +28,19 @@ def covers(ref_start: Column, ref_end: Column, start: Column, end: Column) -> Co
 
 
 def bind_reference(reads: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Records with reference_start and reference_seq of a sequence that covers them whole; null if none does."""
-    s = sequences.select(F.col("ref_id").alias("_ref"), F.col("start").alias("reference_start"), F.col("seq").alias("reference_seq"))
-    inside = covers(F.col("reference_start"), F.col("reference_start") + F.length("reference_seq"), F.col("start"), F.col("end"))
-    return reads.join(s, (F.col("ref_id") == F.col("_ref")) & inside, "left").drop("_ref")
+    """Records with the part of a sequence (ref_id, start, seq) that covers them whole; null if none does.
+
+    region_start tells which sequence it was; reference_start and reference_seq
+    are cut to the record, so that no row carries a whole sequence. The end of a
+    sequence is worked out before the join, once a sequence.
+    """
+    s = sequences.select(
+        F.col("ref_id").alias("_ref"), F.col("start").alias("region_start"), (F.col("start") + F.length("seq")).alias("_stop"), F.col("seq").alias("_seq")
+    )
+    inside = covers(F.col("region_start"), F.col("_stop"), F.col("start"), F.col("end"))
+    cut = F.substring("_seq", F.col("start") - F.col("region_start") + 1, F.col("end") - F.col("start"))
+    bound = reads.join(s, (F.col("ref_id") == F.col("_ref")) & inside, "left")
+    return bound.withColumn("reference_start", F.when(F.col("region_start").isNotNull(), F.col("start"))).withColumn("reference_seq", cut).drop("_ref", "_stop", "_seq")
 
 
 def fetched(spans: DataFrame, fetch: Callable[[int, int, int], str]) -> DataFrame:
