@@ -27,20 +27,33 @@ def covers(ref_start: Column, ref_end: Column, start: Column, end: Column) -> Co
     return (ref_start <= start) & (ref_end >= end)
 
 
-def bind_reference(reads: DataFrame, sequences: DataFrame) -> DataFrame:
+def bind_reference(reads: DataFrame, sequences: DataFrame, shift: int = 14) -> DataFrame:
     """Records with the part of a sequence (ref_id, start, seq) that covers them whole; null if none does.
 
     region_start tells which sequence it was; reference_start and reference_seq
-    are cut to the record, so that no row carries a whole sequence. The end of a
-    sequence is worked out before the join, once a sequence.
+    are cut to the record. Sequences are laid out in tiles of 2 x 2**shift bases,
+    one each 2**shift, so a record of up to 2**shift bases lies in the tile that
+    its start names: an equi-join on (ref_id, tile), in which no row carries a
+    whole sequence. Longer records are joined with the sequences themselves.
     """
-    s = sequences.select(
-        F.col("ref_id").alias("_ref"), F.col("start").alias("region_start"), (F.col("start") + F.length("seq")).alias("_stop"), F.col("seq").alias("_seq")
+    size = 1 << shift
+    tile_of = lambda c: F.call_function("shiftright", c.cast("long"), F.lit(shift))
+    whole = sequences.select(F.col("ref_id").alias("_ref"), F.col("start").alias("region_start"), (F.col("start") + F.length("seq")).alias("_stop"), F.col("seq").alias("_seq"))
+    tiles = (
+        whole.where(F.col("_stop") > F.col("region_start"))
+        .withColumn("_tile", F.explode(F.sequence(tile_of(F.col("region_start")), tile_of(F.col("_stop") - 1))))
+        .withColumn("_from", F.greatest(F.col("_tile") * size, F.col("region_start").cast("long")))
+        .withColumn("_seq", F.substring("_seq", (F.col("_from") - F.col("region_start") + 1).cast("int"), ((F.col("_tile") + 2) * size - F.col("_from")).cast("int")))
     )
     inside = covers(F.col("region_start"), F.col("_stop"), F.col("start"), F.col("end"))
-    cut = F.substring("_seq", F.col("start") - F.col("region_start") + 1, F.col("end") - F.col("start"))
-    bound = reads.join(s, (F.col("ref_id") == F.col("_ref")) & inside, "left")
-    return bound.withColumn("reference_start", F.when(F.col("region_start").isNotNull(), F.col("start"))).withColumn("reference_seq", cut).drop("_ref", "_stop", "_seq")
+    short = F.col("end") - F.col("start") <= size
+    near = reads.where(short).withColumn("_at", tile_of(F.col("start")))
+    near = near.join(tiles, (F.col("ref_id") == F.col("_ref")) & (F.col("_at") == F.col("_tile")) & inside, "left").drop("_at", "_tile")
+    far = reads.where(~short | short.isNull()).join(whole.withColumn("_from", F.col("region_start").cast("long")), (F.col("ref_id") == F.col("_ref")) & inside, "left")
+    both = near.unionByName(far)
+    cut = F.substring("_seq", (F.col("start") - F.col("_from") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    both = both.withColumn("reference_start", F.when(F.col("region_start").isNotNull(), F.col("start"))).withColumn("reference_seq", cut)
+    return both.drop("_ref", "_stop", "_seq", "_from")
 
 
 def fetched(spans: DataFrame, fetch: Callable[[int, int, int], str]) -> DataFrame:

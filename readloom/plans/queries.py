@@ -361,14 +361,14 @@ def io_stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f'select * from ({IO_SQL}) where ref_id = 1 and {HIT.format(a=250000, b=260000)}')
 def io_region_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The region comes from Spark's own filters."""
-    return _decoded(region.records_for_range(source.read_bam(spark, D.bam_file(spark, sf_dir)), "chrB", 250_000, 260_000))
+    """The region comes from the query's own filters."""
+    return _decoded(region.records_for_range(source.read_bam(spark, D.bam_file(spark, sf_dir), pushdown="true"), "chrB", 250_000, 260_000))
 
 
 @query(f'select * from ({IO_SQL}) where ref_id = 2 and {HIT.format(a=990000, b=2000000)}')
 def io_region_bai(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = D.bam_file(spark, sf_dir)
-    return _decoded(source.read_bam(spark, path, index=path + ".bai", region="chrC:990000-2000000"))
+    return _decoded(source.region_reads(spark, path, "chrC", 990_000, 2_000_000, index=path + ".bai"))
 
 
 @query(f"select ref_id, count(*) filter (where (flags & 4) = 0) as mapped from ({D.ORDER_SQL}) group by ref_id union all select 3, 0")

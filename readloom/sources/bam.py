@@ -1,10 +1,15 @@
 """Data sources `bam`, `bam_header` and `bam_index`.
 
-`bam` plans a read on the driver: region option and pushed filters become chunks
-of the index, one input partition each; without a region the whole file is cut
-at record boundaries that the index knows, or read as one stream if there is no
-index. Every pushed filter is handed back, so Spark applies it again and a plan
-error can't change a result. `columns` narrows what the decoder makes.
+`bam` plans a read on the driver: regions become chunks of the index, one input
+partition each; without a region the whole file is cut at record boundaries that
+the index knows, or read as one stream if there is no index. `columns` narrows
+what the decoder makes. Options arrive in lower case.
+
+A region comes from the option `region` (`region_reads` sets it). Filters of a
+query can plan too, with option `pushdown` true: every filter is handed back, so
+Spark applies it again. It is off by default, because Spark keeps what a query
+pushed with the DataFrame and reuses it for a later query without filters; such
+a DataFrame must serve one query only, as in `region_reads`.
 """
 
 from __future__ import annotations
@@ -47,7 +52,7 @@ def open_index(options: dict[str, str]) -> index.Index | None:
     path = options["path"]
     if given := options.get("index"):
         return index.parse(bgzf.Source(given).all())
-    if options.get("useIndex", "true") == "false":
+    if options.get("useindex", "true") == "false":
         return None
     for name in (path + ".csi", path + ".bai", re.sub(r"\.bam$", ".bai", path)):
         if name != path and bgzf.Source(name).exists():
@@ -97,6 +102,9 @@ class BamReader(DataSourceReader):
         self.low, self.high, self.only = 0, 1 << 62, None
 
     def pushFilters(self, filters: list[Filter]):  # noqa: N802
+        if self.options.get("pushdown", "false") != "true":
+            yield from filters
+            return
         for f in filters:
             match f:
                 case EqualTo(("ref_name",), v):
@@ -135,7 +143,7 @@ class BamReader(DataSourceReader):
         marks = sorted({c.begin for r in found.refs for cs in r.bins.values() for c in cs} | {v for r in found.refs for v in r.linear if v})
         cuts = [self.header.first_record]
         for v in marks:
-            if (v >> 16) - (cuts[-1] >> 16) >= int(self.options.get("splitBytes", SPLIT_BYTES)):
+            if (v >> 16) - (cuts[-1] >> 16) >= int(self.options.get("splitbytes", SPLIT_BYTES)):
                 cuts.append(v)
         return [Piece(path, a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
 
@@ -252,6 +260,13 @@ def read_bam(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("bam").options(**options).load(path)
 
 
+def region_reads(spark: SparkSession, path: str, ref_name: str, start: int, end: int, **options: str) -> DataFrame:
+    """The flagship: records of a reference that overlap [start, end), read through the index."""
+    from readloom.operators.region import records_for_range
+
+    return records_for_range(read_bam(spark, path, region=f"{ref_name}:{start}-{end}", **options), ref_name, start, end)
+
+
 def ref_table(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """(ref_id, ref_name, length) of the file's references."""
     from pyspark.sql import functions as F
