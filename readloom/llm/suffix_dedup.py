@@ -138,7 +138,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = scratch.keep(docs.mapInArrow(kept, schema))
 
     def arrays(t: pa.Table):
-        wide = [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32).reshape(t.num_rows, -1) for c in ("after", "before")]
+        wide = [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32).reshape(t.num_rows, n) for c, n in (("after", after), ("before", side))]
         return (t.column("h").to_numpy(), *wide, *(t.column(c).to_numpy() for c in names[3:]))
 
     def common(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
