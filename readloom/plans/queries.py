@@ -447,3 +447,31 @@ def g9_arriving_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         run.stop()
     return spark.read.parquet(out + "/rows").groupBy(F.col("flags").bitwiseAND(16).alias("reverse")).agg(F.count("*").alias("n"))
+
+
+@query(f"""select 'header_text' as part, '@HD' || chr(9) || 'VN:1.6' || chr(9) || 'SO:coordinate' || chr(10) || {" || ".join(f"'@SQ' || chr(9) || 'SN:{n}' || chr(9) || 'LN:{s}' || chr(10)" for n, s in D.REFS)}
+  || '@CO' || chr(9) || 'derived: from orders' || chr(10) as header_text""")
+def a5_header_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source.register(spark)
+    return spark.read.format("bam_header").load(D.bam_file(spark, sf_dir)).select(F.lit("header_text").alias("part"), "header_text")
+
+
+@query(f"select ref_name, count(*) as n from (select case ref_id when 0 then '1' when 1 then 'chrB' else 'chrC' end as ref_name from ({D.ORDER_SQL})) group by 1")
+def h2_rename_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.read_bam(spark, D.bam_file(spark, sf_dir), rename="chrA=1", columns="ref_name").groupBy("ref_name").agg(F.count("*").alias("n"))
+
+
+@query(f"""select record_id as id, '[' || ref_id || ',' || start || ',"r' || record_id || '",' || coalesce(cast(nullif(raw_mq, 255) as varchar), 'null') || ',"' || span || 'M","g' || record_id % 3 || '"]' as fields from ({D.ORDER_SQL})""")
+def f24_record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record's JSON, and some of its fields read back from it."""
+    reads = source.read_bam(spark, D.bam_file(spark, sf_dir))
+    full = reads.withColumns({"cigar_string": C.cigar_string(F.col("cigar")), "seq": C.sequence(F.col("seq_packed"), F.col("seq_length")), "tags": T.decode_tags("tags_raw")})
+    j = full.select(C.record_json().alias("j"))
+    get = lambda path, quote: F.coalesce(F.concat(F.lit(quote), F.get_json_object("j", path), F.lit(quote)), F.lit("null"))
+    parts = [get("$.ref_id", ""), get("$.start", ""), get("$.name", '"'), get("$.mq", ""), get("$.cigar_string", '"'), get("$.tags.RG.s", '"')]
+    return j.select(F.substring(F.get_json_object("j", "$.name"), 2, 20).cast("long").alias("id"), F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")).alias("fields"))
+
+
+@query(f"select name, count(*) as n from ({D.PAIR_SQL}) where ref_id = 1 and {HIT.format(a=400000, b=600000)} group by name")
+def e5_name_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_stats.name_counts(region.records_for_range(D.paired_reads(spark, sf_dir), 1, 400_000, 600_000))
