@@ -27,15 +27,16 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while mark[0]:
         # large star: every larger neighbour of u is tied to u's smallest one
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("m", "a").alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # (written first: a join of two plain tables is one whose hot keys can be split)
+        lows = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("m", "a").alias("m")))
+        large = both.where(F.col("b") > F.col("a")).join(lows, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         mid = scratch.keep(large)
         # small star: u and its smaller neighbours are tied to the smallest of them
         low = mid.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         joined = mid.join(low, F.col("a") == F.col("u"))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         new = scratch.keep(small.where(F.col("a") != F.col("b")).distinct())
-        scratch.drop(now, mid)
+        scratch.drop(now, mid, lows)
         now, old, mark = new, mark, _mark(new)
         if mark == old:
             break

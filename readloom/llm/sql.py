@@ -1,3 +1,20 @@
-"""DuckDB SQL for the corpus queries that SQL can express over whole tables."""
+"""DuckDB SQL for the corpus queries that SQL can express over whole tables.
 
-ORACLE_SQL: dict[str, str] = {}
+The others rest on trained models, tokens, hashes or searches that SQL lacks;
+they are tested against brute force.
+"""
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": f"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as i from d),
+k as (select *, translate(trim(line, {_BLANKS}), '{_UPPER}', '{_UPPER.lower()}') as key from l),
+r as (select key, max(doc_id) as keeper from (select distinct doc_id, key from k where length(key) >= 20) group by key having count(*) >= 3),
+m as (select k.doc_id, k.line, k.i, r.keeper is not null and r.keeper <> k.doc_id as gone from k left join r using (key))
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from m group by doc_id""",
+}
