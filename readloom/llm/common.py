@@ -6,9 +6,10 @@ import atexit
 import sys
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom import ship
@@ -71,6 +72,13 @@ def once_per_process(key: str, make: Callable[[], Any]) -> Any:
     return getattr(store, key)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: whole texts are long, and Python holds one batch at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def ascii_lower(text: str) -> bytes:
     """UTF-8 of the text with A-Z, and nothing else, lower-cased."""
     return text.encode("utf-8", "surrogatepass").lower()

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom import ship
+from readloom.llm.common import slices
 
 ship(__name__)
 
@@ -200,7 +201,7 @@ def scan_licenses(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     names = ["doc_id", "paragraph", "family", "probability", "similarity", "confirmed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at, got = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 for j, line in enumerate((text or "").split("\n")):

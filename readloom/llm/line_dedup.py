@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from readloom import ship
 from readloom.llm import bloom
-from readloom.llm.common import BLANK_BYTES, Scratch
+from readloom.llm.common import BLANK_BYTES, Scratch, slices
 
 ship(__name__)
 
@@ -59,7 +59,7 @@ def key_hashes(docs: DataFrame, least: int) -> DataFrame:
     """Half of each digest, once a row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
             got = [lo for doc, text in rows if doc is not None for _, lo in row_digests(text, least)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], names=["h"])
@@ -89,7 +89,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         return [g for g, k in zip(got, keep, strict=True) if k]
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at, hi, lo = [], [], []
             for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 for x, y in suspected(doc, text):
@@ -100,7 +100,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     def split(want: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 is_one = [bool(suspected(d, t)) == want for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
                 yield b.filter(pa.array(is_one, pa.bool_()))
 
@@ -118,7 +118,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     scratch.drop(found, confirmed)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, n, dropped = [], [], []
             gone_col = b.schema.get_field_index("gone")
             for text, gone in zip(b.column(1).to_pylist(), b.column(gone_col).to_pylist(), strict=True):

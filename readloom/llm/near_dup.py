@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from readloom import ship
 from readloom.llm import bloom
-from readloom.llm.common import Scratch, ascii_lower
+from readloom.llm.common import Scratch, ascii_lower, slices
 from readloom.llm.components import connected_components
 
 ship(__name__)
@@ -147,7 +147,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     odd = _rng_odd(seed, SYMBOLS)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, hi, lo, sig = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, shingle)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom import ship
-from readloom.llm.common import Scratch, once_per_process
+from readloom.llm.common import Scratch, once_per_process, slices
 
 ship(__name__)
 
@@ -74,7 +74,7 @@ def tokenised(df: DataFrame, vocabulary: str, id_col: str, text_col: str, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             at, out = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 ids = np.append(enc.encode_to_numpy(text or "", disallowed_special=()), np.uint32(end_id)).astype("<u4")

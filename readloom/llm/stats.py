@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom import ship
-from readloom.llm.common import BLANKS
+from readloom.llm.common import BLANKS, slices
 
 ship(__name__)
 
@@ -76,7 +76,7 @@ def with_stats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = f"doc_id {kind}, " + ", ".join(f"{c} {'long' if c in COUNTS else 'double'}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = np.array([describe(t) for t in b.column(1).to_pylist()], float).reshape(-1, len(names))
             cols = [pa.array(got[:, i].astype(np.int64) if c in COUNTS else got[:, i]) for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", *names])

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from readloom import ship
 from readloom.llm import bloom
-from readloom.llm.common import Scratch, ascii_lower
+from readloom.llm.common import Scratch, ascii_lower, slices
 from readloom.llm.near_dup import MIX, mixed
 
 ship(__name__)
@@ -97,7 +97,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return a, at, rolled(a, head)[at]
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [np.unique(suffixes(t)[2]) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if d is not None]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], names=["h"])
