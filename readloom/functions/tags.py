@@ -14,10 +14,14 @@ ship(__name__)
 CELL = "struct<type:string,i:bigint,f:double,s:string,ai:array<bigint>,af:array<double>>"
 
 
-@F.pandas_udf(f"map<string,{CELL}>")
-def decode_tags(raw: pd.Series) -> pd.Series:
+def decode_tags(raw: Column | str) -> Column:
     """All tags of a record: name to typed value."""
-    return raw.map(codec.decode)
+
+    @F.pandas_udf(f"map<string,{CELL}>")
+    def all_of(values: pd.Series) -> pd.Series:
+        return values.map(codec.decode)
+
+    return all_of(raw)
 
 
 def get_tag(raw: Column, name: str, kind: str = "string") -> Column:
