@@ -72,6 +72,13 @@ def once_per_process(key: str, make: Callable[[], Any]) -> Any:
     return getattr(store, key)
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send whole texts to Python in batches of fewer rows, unless the session already says how many."""
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name) == usual:
+        spark.conf.set(name, str(rows))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches: whole texts are long, and Python holds one batch at a time."""
     for b in batches:

@@ -116,7 +116,7 @@ def _examples(rng: np.random.Generator, plain: list[str], copies: int) -> tuple[
                 x.append(v)
                 y.append(k)
     for p in plain:
-        x.append(words_of(p)[:80])
+        x.append(words_of(p))
         y.append(0)
     for _ in range(copies * 6):  # single words of templates in prose mean nothing
         t = words_of(TEMPLATES[FAMILIES[int(rng.integers(1, len(FAMILIES)))]][0])
@@ -219,5 +219,5 @@ def scan_licenses(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 def plain_sample(docs: DataFrame, text_col: str = "text", *, max_rows: int = 300) -> list[str]:
     """At most `max_rows` first lines of texts that don't speak of licences, in the order of a hash."""
     line = F.split(F.col(text_col), "\n")[0]
-    rows = docs.select(F.substring(line, 1, 2000).alias("line")).where(F.col("line").isNotNull() & ~F.col("line").rlike("(?i)licen|copyright|spdx|warrant|permission"))
+    rows = docs.select(line.alias("line")).where(F.col("line").isNotNull() & ~F.col("line").rlike("(?i)licen|copyright|spdx|warrant|permission"))
     return [r.line for r in rows.orderBy(F.xxhash64("line"), "line").limit(max_rows).collect()]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom import ship
+from readloom.llm.common import short_batches
 
 ship(__name__)
 
@@ -22,6 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with repeated lines removed; n_chars follows the text."""
+    short_batches(spark)
     from readloom.llm.line_dedup import dedup_lines
 
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
@@ -31,6 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    short_batches(spark)
     from readloom.llm.near_dup import near_duplicates
 
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
@@ -47,6 +50,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents, with their places in the sequences."""
+    short_batches(spark)
     from readloom.llm.packing import pack_documents
     from readloom.llm.queries import vocabulary
 

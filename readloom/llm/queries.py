@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom import ship
+from readloom.llm.common import short_batches
 
 ship(__name__)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
