@@ -14,6 +14,7 @@ null ids pass through, and further columns aren't read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -150,12 +151,17 @@ def _closing(opened: str) -> str:
     return "".join(f"</{x.split('>')[0].split(' ')[0]}>" for x in reversed(opened.split("<")[1:]))
 
 
-def labelled_page(rng: np.random.Generator) -> str:
+def word_pool(rng: np.random.Generator, n: int = 3000) -> list[str]:
+    letters = "abcdefghijklmnoprstuvwyzäéñß"
+    return ["".join(letters[i] for i in rng.integers(0, len(letters), int(rng.integers(1, 10)))) for _ in range(n)]
+
+
+def labelled_page(rng: np.random.Generator, pool: list[str]) -> str:
     """A page whose main text blocks begin with MAIN."""
-    word = lambda: "".join("abcdefghijklmnoprstuvwyzäéñß"[i] for i in rng.integers(0, 28, int(rng.integers(1, 10))))
+    word = lambda: pool[int(rng.integers(0, len(pool)))]
 
     def prose(low: int, high: int) -> str:
-        w = [word() for _ in range(int(rng.integers(low, high)))]
+        w = [pool[i] for i in rng.integers(0, len(pool), int(rng.integers(low, high)))]
         for i in range(0, len(w), 9):
             w[i] = w[i].capitalize()
             w[i - 1 if i else -1] += "." if rng.random() < 0.8 else ","
@@ -209,15 +215,21 @@ def labelled_page(rng: np.random.Generator) -> str:
 
 def labelled_pages(count: int = 800, seed: int = 1) -> list[tuple[list[Block], list[bool]]]:
     rng = np.random.default_rng(seed)
-    out = []
+    out, pool = [], word_pool(rng)
     for _ in range(count):
-        page = blocks(labelled_page(rng))
+        page = blocks(labelled_page(rng, pool))
         if page:
             labels = [MAIN in b.text for b in page]
             out.append(([Block(b.path, b.text.replace(MAIN, "") or "x", b.linked) for b in page], labels))
     return out
 
 
+@functools.cache
+def default_model() -> Crf:
+    """The model of the builder's pages, trained once a driver process."""
+    return train(labelled_pages())
+
+
 def extract_text(page: str | None, model: Crf, cache: dict) -> str:
     found = blocks(page)
     return " ".join(b.text for b, main in zip(found, model.labels(found, cache), strict=True) if main)
@@ -225,7 +237,7 @@ def extract_text(page: str | None, model: Crf, cache: dict) -> str:
 
 def extract_pages(df: DataFrame, model: Crf | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: page_id, url, text and n_chars."""
-    sent = df.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))
+    sent = df.sparkSession.sparkContext.broadcast(model or default_model())
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
 

@@ -152,7 +152,11 @@ def train(plain: list[str], *, copies: int = 12, penalty: float = 4e-4, steps: i
     a = m[fit]
     w, b = np.zeros((len(names), k), np.float32), np.zeros(k, np.float32)
     zw, t = w.copy(), 1.0
-    step = 2.0 / max(1e-6, float(np.linalg.norm(a, 2) ** 2) / len(a))
+    top = np.ones(len(names), np.float32)
+    for _ in range(30):  # the largest eigenvalue, by power iteration
+        top = a.T @ (a @ top)
+        top /= max(1e-9, float(np.linalg.norm(top)))
+    step = 1.8 / max(1e-6, float(np.linalg.norm(a @ top) ** 2) / len(a))
     for _ in range(steps):
         s = a @ zw + b
         e = np.exp(s - s.max(1, keepdims=True))
