@@ -10,15 +10,16 @@ first words; pass 2 lets through the suffixes whose hash may repeat, with the
 words on both sides that a match of `least` words needs. They are sorted by the
 words that follow, then by the words before, over range partitions that may
 split any run of equal suffixes; each suffix is compared with its sorted
-neighbours of other documents, across partition ends too, and the match is
-extended right and left. Those still short of `least` words are sorted once more
-by the words before. Matches of `least` words or more give spans, and spans that
-overlap are united. So a suffix is compared with four others at most, however
-many documents hold it.
+neighbours of other documents, and the match is extended right and left.
 
-A partner is one of the sorted neighbours: a match that needs a third document,
-neither the best to the right nor the best to the left, isn't seen from that
-suffix. Words are compared as 32-bit hashes, first words as one of 64 bits.
+What neighbours can't settle (a match that would need a third document, or one
+across a partition's end) is looked up: each passage of `least` words around a
+head that the neighbours don't cover is wanted, by its hash, and so is any other
+document that holds it. A hash is aggregated to its least and greatest document,
+so a passage that many documents hold is one row. Matches of `least` words or
+more give spans, and spans that overlap are united: they cover the words of all
+passages of `least` words that another document holds, and no others. Words are
+compared as 32-bit hashes, first words and wanted passages as one of 64 bits.
 
 Null and short texts have no spans. Rows of one doc_id count as one document, a
 null id takes no part, and other columns aren't read.
@@ -30,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -166,52 +166,61 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 best[i[ok]] = np.maximum(best[i[ok]], x[ok])
         return best_r, best_l, best_r > 0
 
+    def windows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the passages of `least` words around each head, a column for each number of words before it, and which of them the text holds."""
+        h, right, left, na, nb, _, _ = arrays(t)
+        ahead, behind = (np.zeros((len(h), side + 1), np.uint64) for _ in range(2))
+        for k in range(side):  # `after` is as long as `side`
+            ahead[:, k + 1] = ahead[:, k] * MIX + right[:, k] + np.uint64(1)
+            behind[:, k + 1] = behind[:, k] * MIX + left[:, k] + np.uint64(1)
+        out = mixed(mixed(h.view(np.uint64)[:, None] ^ mixed(behind)) * MIX + ahead[:, ::-1])
+        s = np.arange(side + 1)
+        return out, (s <= nb[:, None]) & (side - s <= na[:, None])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
         r, k, ok = compare(t)
-        n = t.num_rows
-        # rows that the neighbouring partitions must see: the first and last of two documents each
-        doc = t.column("doc_id").to_numpy()
-        edge = np.zeros(n, bool)
-        edge[[0, n - 1]] = True
-        other = np.flatnonzero(doc != doc[0])
-        if len(other):
-            edge[other[0]] = True
-        other = np.flatnonzero(doc != doc[-1])
-        if len(other):
-            edge[other[-1]] = True
-        pos = t.column("pos").to_numpy()
-        bare = pa.array(ok & ~edge)  # settled: the words around it aren't needed again
-        for c in ("after", "before"):
-            i = t.schema.get_field_index(c)
-            t = t.set_column(i, c, pc.if_else(bare, pa.scalar(None, pa.binary()), t.column(c)))
-        out = t.append_column("start", pa.array((pos - k).astype(np.int32))).append_column("end", pa.array((pos + r).astype(np.int32))).append_column("ok", pa.array(ok)).append_column("edge", pa.array(edge))
-        yield from out.filter(pa.array(ok | edge | (mode[0] == "all"))).to_batches(max_chunksize=5000)
-
-    mode = ["all"]
-    out_schema = schema + ", start int, end int, ok boolean, edge boolean"
+        del got
+        s = np.arange(side + 1)
+        for at in range(0, t.num_rows, 5000):
+            part = t.slice(at, 5000)
+            here = slice(at, at + part.num_rows)
+            hash_, fits = windows(part)
+            want = fits & ((s > k[here, None]) | (least - s > r[here, None]))
+            pos = part.column("pos").to_numpy()
+            ends = pa.array(np.concatenate([[0], np.cumsum(want.sum(1))]).astype(np.int32))
+            cols = [part.column("doc_id").combine_chunks(), *(pa.array(x.astype(np.int32)) for x in (pos, pos - k[here], pos + r[here])), pa.array(ok[here])]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (hash_[want].view(np.int64), np.broadcast_to(s.astype(np.int32), want.shape)[want])]
+            out = pa.RecordBatch.from_arrays([*cols, *lists], names=["doc_id", "pos", "start", "end", "ok", "hash", "left"])
+            yield out.filter(pa.array(ok[here] | want.any(1)))
+
     order = ["h", "after", "before", "doc_id", "pos"]
+    out_schema = "doc_id long, pos int, start int, end int, ok boolean, hash array<long>, left array<int>"
     first = scratch.keep(found.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(scan, out_schema))
-    scratch.drop(found)
-    left_order = ["h", "before", "after", "doc_id", "pos"]
-    rest = first.where(~F.col("ok")).select(*names)
-    mode = ["matches"]
-    second = scratch.keep(rest.repartitionByRange(n_parts, *left_order).sortWithinPartitions(*left_order).mapInArrow(scan, out_schema))
-
-    def ends(table: DataFrame, by: list[str]) -> DataFrame:
-        """The edge rows of all partitions, at most four each, compared in order on the driver."""
-        rows = table.where("edge").select(*names).orderBy(*by).toArrow()
-        r, k, ok = compare(rows)
-        pos = rows.column("pos").to_numpy()
-        got = [(int(d), int(p - y), int(p + x)) for d, p, x, y, o in zip(rows.column("doc_id").to_numpy(), pos, r, k, ok, strict=True) if o]
-        return spark.createDataFrame(got, "doc_id long, start int, end int")
-
-    spans = first.where("ok").select("doc_id", "start", "end")
-    for more in (second.where("ok").select("doc_id", "start", "end"), ends(first, order), ends(second, left_order)):
-        spans = spans.unionByName(more)
+
+    # what the neighbours left open: wanted passages that two documents hold
+    pairs = F.explode(F.arrays_zip("hash", "left")).alias("w")
+    wanted = first.where(F.size("hash") > 0).select("doc_id", "pos", pairs).select("doc_id", "pos", F.col("w.hash").alias("hash"), F.col("w.left").alias("left"))
+    n_wanted = first.agg(F.sum(F.size("hash"))).first()[0] or 0
+    open_filt = spark.sparkContext.broadcast(bloom.build(wanted.select("hash"), bloom.bits_for(n_wanted, max_filter_bits)))
+
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 5000):
+                part = pa.Table.from_batches([b.slice(at, 5000)])
+                hash_, fits = windows(part)
+                row = np.nonzero(fits)[0]
+                hash_ = hash_[fits]
+                hit = bloom.may_hold(open_filt.value, hash_)
+                doc = part.column("doc_id").to_numpy()[row[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(hash_[hit].view(np.int64)), pa.array(doc)], names=["hash", "doc_id"])
+
+    held = found.mapInArrow(holders, "hash long, doc_id long").groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where(F.col("a") < F.col("b")).select("hash")
+    more = wanted.join(held, "hash").select("doc_id", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") - F.col("left") + least).alias("end"))
+    spans = first.where("ok").select("doc_id", "start", "end").unionByName(more)
     w = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = spans.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("g", F.sum("new").over(w))

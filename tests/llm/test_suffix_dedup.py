@@ -32,6 +32,23 @@ def test_covers_what_brute_force_covers(docs, rows):
     assert got == want and len(want) >= 15
 
 
+def test_a_partner_that_third_documents_hide_is_found(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows = []
+    for family in range(8):  # cuts of one passage, 36 to 60 words of it, in texts of their own
+        passage = prose(75)
+        for k in range(30):
+            n = int(rng.integers(36, 61))
+            at = int(rng.integers(0, 75 - n + 1))
+            rows.append((family * 100 + k, " ".join(prose(20) + passage[at:at + n] + prose(20))))
+    want = brute(rows)
+    got = {d: [False] * len(h) for d, h in want.items()}
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id][r.start_word:r.end_word] = [True] * r.n_words
+    assert got == want and len(want) >= 50
+
+
 def test_partition_ends_hide_nothing(docs):
     spans = lambda n: sorted(map(tuple, repeated_passages(docs, docs_a_part=n).collect()))
     assert spans(2) == spans(10_000)
