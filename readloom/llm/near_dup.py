@@ -1,12 +1,13 @@
 """MinHash near-dedup by a multi-index Hamming join of b-bit signatures.
 
-A document's set holds its distinct 5-word shingles. Its signature has 32
-symbols of 16 bits, each the low bits of a minimum under one hash; two sets of
-similarity 0.85 differ in more than 15 symbols about once in 200,000 pairs. The
-32 symbols form 8 chunks of 4. Two signatures within distance 15 differ in at
-most one symbol of some chunk, so each document is filed under the 32 keys that
-a chunk gives when any one of its symbols is left out: all pairs within the
-distance meet under a key.
+A document's set holds its distinct 5-word shingles. Its signature has symbols of
+16 bits, each the low bits of a minimum under one hash, in chunks of 4. Two
+signatures that differ in fewer than half of their symbols differ in at most one
+symbol of some chunk, so each document is filed under the keys that a chunk gives
+when any one of its symbols is left out: all pairs within that distance meet
+under a key. There are as many symbols as the similarity asks for, so that two
+sets of just that similarity are beyond the distance in fewer than 5 of a million
+pairs: 32 symbols (distance 15) for 0.85, 48 (distance 23) for 0.80.
 
 Equal sets are one class from the start, by a 128-bit hash, whatever their
 number. Classes that meet under keys form families, found from links to each
@@ -25,6 +26,7 @@ columns aren't read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +42,25 @@ from readloom.llm.components import connected_components
 
 ship(__name__)
 
-SYMBOLS, CHUNKS, DISTANCE = 32, 8, 15
-WIDTH = SYMBOLS // CHUNKS
+WIDTH, MISSED, MOST_SYMBOLS = 4, 5e-6, 512
+
+
+def symbols_for(num: int, den: int) -> int:
+    """The least number of symbols at which sets of similarity num / den are out of the distance in at most MISSED of the pairs."""
+    differ = 1 - num / den
+    for n in range(WIDTH, MOST_SYMBOLS + 1, WIDTH):
+        if sum(math.comb(n, k) * differ**k * (1 - differ) ** (n - k) for k in range(distance(n) + 1, n + 1)) <= MISSED:
+            return n
+    raise ValueError(f"similarity {num}/{den} is too low for {MOST_SYMBOLS} symbols")
+
+
+def distance(symbols: int) -> int:
+    """The greatest number of differing symbols at which some chunk has at most one of them."""
+    return 2 * (symbols // WIDTH) - 1
+
+
+SYMBOLS = 32  # of similarity 0.85
+DISTANCE = distance(SYMBOLS)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,10 +94,10 @@ def signature(s: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 
 def keys(sig: np.ndarray) -> np.ndarray:
-    """32 keys of each row of signatures: a chunk with one symbol left out, its place mixed in."""
+    """A key for each symbol of each row of signatures: a chunk with one symbol left out, its place mixed in."""
     out = np.empty(sig.shape, np.uint64)
     wide = sig.astype(np.uint64)
-    for c in range(CHUNKS):
+    for c in range(sig.shape[1] // WIDTH):
         for k in range(WIDTH):
             h = np.full(len(sig), np.uint64(c * WIDTH + k + 1))
             for j in range(WIDTH):
@@ -124,7 +143,7 @@ def link(sets: list[np.ndarray], sigs: np.ndarray, comp: np.ndarray, tile: np.nd
         if across:
             y = y[tile[y] != tile[x]]
         if len(y):
-            y = y[(sigs[y] != sigs[x]).sum(1) <= DISTANCE]
+            y = y[(sigs[y] != sigs[x]).sum(1) <= distance(sigs.shape[1])]
         if not len(y):
             continue
         mark[code[ends[x]:ends[x + 1]]] = True
@@ -144,7 +163,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     scratch = Scratch(spark, "near_dup")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    odd = _rng_odd(seed, SYMBOLS)
+    symbols = symbols_for(num, den)
+    odd = _rng_odd(seed, symbols)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -166,8 +186,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             if not b.num_rows:
                 continue
-            k = keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS))
-            yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.repeat(b.column(0).to_numpy(), SYMBOLS))], names=["key", "id"])
+            k = keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, symbols))
+            yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.repeat(b.column(0).to_numpy(), symbols))], names=["key", "id"])
 
     filed = classes.select("rep", "sig").mapInArrow(file, "key long, id long")
     heads = scratch.keep(filed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("top")).where(F.col("head") < F.col("top")).drop("top"))
@@ -207,7 +227,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ids, first = np.unique(t.column("id").to_numpy(), return_index=True)  # repeated rows of an id: one of them
         t = t.take(pa.array(first))
         got = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, symbols)
         old = t.column("comp").to_numpy()
         label = link(got, sig, old, t.column("tile").to_numpy(), num, den)
         smallest = np.full(label.max() + 1, np.iinfo(np.int64).max)

@@ -74,3 +74,13 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"))
     want = {i: 100 for i in range(100, 161)} | {i: 5 for i in [5, *range(200, 260)]}
     assert {r.id: r.component for r in got.collect()} == want
+
+
+def test_symbols_follow_the_similarity():
+    assert near_dup.symbols_for(85, 100) == near_dup.SYMBOLS == 32 and near_dup.symbols_for(80, 100) == 48
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 1 << 16, (200, 48), dtype=np.uint16)
+    b = a.copy()
+    for i in range(len(b)):
+        b[i, rng.choice(48, near_dup.distance(48), replace=False)] ^= 1
+    assert ((near_dup.keys(a) == near_dup.keys(b)).any(1)).all()

@@ -1,7 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from readloom.llm import queries, sql
+from readloom.llm import pipeline, queries, sql
 
 
 def test_stages_on_driver_tables(spark, tmp_path):
@@ -21,6 +23,24 @@ def test_stages_on_driver_tables(spark, tmp_path):
     assert sorted(map(str, whole.collect())) == sorted(map(str, docs.collect()))
 
 
+def test_near_stage_drops_copies_of_similarity_080(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(30):  # 296 shingles; an edited word changes five: 6 edits are 266 of 326 (0.816), 7 are 261 of 331 (0.789)
+        w = [f"w{rng.getrandbits(40)}" for _ in range(300)]
+        rows.append((3 * k, " ".join(w)))
+        for j, edits in ((1, 6), (2, 7)):
+            c = [f"w{rng.getrandbits(40)}" for _ in range(300)] if j == 2 else w
+            if j == 2:
+                rows.append((1000 + k, " ".join(c)))
+            c = list(c)
+            for e in range(edits):
+                c[20 + 40 * e] = f"edited{e}"
+            rows.append((2000 * j + k, " ".join(c)))
+    out = pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {i for i, _ in rows} - {r.doc_id for r in out.collect()} == set(range(2000, 2030))
+
+
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(sql.ORACLE_SQL) <= set(queries.QUERIES)
