@@ -55,9 +55,20 @@ def paired_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.selectExpr("record_id", "cast(pair_id as string) as name", "ref_id", "start", "flags", "raw_mq", "span", "cast(start + span as int) as `end`", "next_refid", "next_pos")
 
 
+def table_state(spark: SparkSession, path: str) -> str:
+    """Name, size and modification time of each file of a table, by Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return "\n".join(sorted(out))
+
+
 def bam_file(spark: SparkSession, sf_dir: str) -> str:
-    """A coordinate-sorted file of the order reads with its index, made once for each table."""
-    key = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+    """A coordinate-sorted file of the order reads with its index, made once for each state of the table."""
+    key = hashlib.sha1(f"{sf_dir}\n{table_state(spark, f'{sf_dir}/orders.parquet')}".encode()).hexdigest()[:12]
     folder = os.path.join(shared_dir(spark).removeprefix("file://").removeprefix("file:"), "alignments")
     path = os.path.join(folder, f"{key}.bam")
     if os.path.exists(path + ".csi"):

@@ -2,6 +2,7 @@
 
 import base64
 import json
+import shutil
 import sys
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from readloom.codec import bgzf
 from readloom.operators import pairs, reference, region
+from readloom.plans.derive import bam_file
 from readloom.sources import bam as source
 from readloom.sources import htsget
 sys.path.insert(0, str(Path(__file__).parent))
@@ -93,3 +95,15 @@ def test_htsget_errors():
     assert htsget.records_offset(b"no header") == 0
     with pytest.raises(bgzf.Truncated):
         htsget.records_offset(b"BAM\1" + b"\x10\0\0\0")
+
+
+def test_alignment_file_follows_the_orders_table(spark, tmp_path):
+    def put(n):
+        shutil.rmtree(tmp_path / "orders.parquet", ignore_errors=True)
+        spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(n).write.parquet(str(tmp_path / "orders.parquet"))
+
+    put(40)
+    old = bam_file(spark, str(tmp_path))
+    assert bam_file(spark, str(tmp_path)) == old and source.read_bam(spark, old).count() == 40
+    put(25)
+    assert source.read_bam(spark, bam_file(spark, str(tmp_path))).count() == 25
