@@ -5,15 +5,19 @@ pieces after a first one that may be shorter. What matters for packing is how
 many pieces there are of each length, at most one number a length, so the search
 runs on the driver over that histogram whatever the corpus is. It starts with
 the best-fit-decreasing packing as incumbent. A node takes the largest length
-left, lists the undominated fillings of the room beside it, applies one to as
-many sequences as the counts allow, and is pruned when the room wasted so far
-rules out a packing shorter than the incumbent; best fit of what is left may
-become the new incumbent. The search ends at the lower bound or after
-`max_nodes` nodes; the incumbent is always a whole packing.
+left, lists the undominated fillings of the room beside it (any number of
+pieces), and applies one to as many sequences as the counts allow, or to fewer.
+It is pruned when the room wasted so far, and what must be wasted yet, rules out
+a packing shorter than the incumbent; best fit of what is left may become the
+new incumbent. The whole tree is searched, then trees of parts of the incumbent
+that waste most. The search ends at the lower bound, with the whole tree seen, or
+after `max_steps` steps; the incumbent is always a whole packing, and `Plan.gap`
+is the proven distance from the fewest sequences.
 
 The plan maps the k-th piece of a length to a sequence and offset. Ranks within
 a length are counted in salted parts, so a length that many copies share isn't
-gathered in one task.
+gathered in one task; a part is named by a number that each written piece has
+of its own, so copies and null ids are dealt like any other rows.
 
 Null and empty texts are the end token alone. Repeated rows are packed each for
 itself, null ids are allowed, and other columns aren't read.
@@ -21,14 +25,19 @@ itself, null ids are allowed, and other columns aren't read.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import json
+import random
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,11 +78,12 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
 
 
 def tokenised(df: DataFrame, vocabulary: str, id_col: str, text_col: str, end_id: int, capacity: int) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32. Ids themselves stay in the task."""
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, and row, a number of its own. Ids themselves stay in the task."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
+        row = TaskContext.get().partitionId() << 40
         for b in slices(batches):
             at, out = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
@@ -85,12 +95,13 @@ def tokenised(df: DataFrame, vocabulary: str, id_col: str, text_col: str, end_id
                     start += n
             cols = np.array(out, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at, pa.int64())), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, j]) for j in (1, 2, 3))],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, j]) for j in (1, 2, 3)), pa.array(row + np.arange(len(at)))],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "row"],
             )
+            row += len(at)
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long")
 
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # how many sequences, and the (length, count) of each
@@ -118,103 +129,265 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
                         del open_[room]
             open_.setdefault(room - each * size, Counter())[(*contents, (size, each))] += used
             left -= used * each
-    return [(n, c) for room in open_.values() for c, n in room.items()]
-
-
-def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """The larger of the volume bound and, over thresholds, the bound that large pieces can't share."""
-    sizes = sorted(counts)
-    best = -(-sum(s * n for s, n in counts.items()) // capacity)
-    for k in [0, *[s for s in sizes if s <= capacity // 2]]:
-        big = sum(n for s, n in counts.items() if s > capacity - k)
-        mid = [(s, n) for s, n in counts.items() if capacity // 2 < s <= capacity - k]
-        small = sum(s * n for s, n in counts.items() if k <= s <= capacity // 2)
-        n_mid = sum(n for _, n in mid)
-        room = n_mid * capacity - sum(s * n for s, n in mid)
-        best = max(best, big + n_mid + max(0, -(-(small - room) // capacity)))
-    return best
+    return [(n, tuple(sorted(c, reverse=True))) for room in open_.values() for c, n in room.items()]
 
 
-def fillings(counts: dict[int, int], room: int, width: int) -> list[Counter]:
-    """Undominated fillings of a room, least waste first.
+def lower_bound(left: np.ndarray, capacity: int) -> int:
+    """Fewest sequences that counts by length (an array of capacity + 1) can need.
 
-    Up to two pieces are enumerated, each pair with the largest partner that
-    fits; what room is left after them goes to best fit. A filling is dominated
-    when another one is at least as large place by place.
+    For each threshold k, pieces above capacity - k are alone, those above half
+    can't share, and pieces from k to half fill only the room beside the latter;
+    k = 0 is the bound by volume.
+    """
+    sizes = np.arange(capacity + 1)
+    n, v = (np.concatenate([[0], np.cumsum(x)]) for x in (left, left * sizes))  # of lengths below i
+    half = capacity // 2
+    k = np.arange(half + 1)
+    beside = n[capacity + 1 - k] - n[half + 1]
+    room = beside * capacity - (v[capacity + 1 - k] - v[half + 1])
+    small = v[half + 1] - v[k]
+    return int((n[-1] - n[capacity + 1 - k] + beside + np.maximum(0, -(-(small - room) // capacity))).max())
+
+
+def least_waste(left: np.ndarray, capacity: int) -> int:
+    """Room that must stay idle: of each sequence with a piece above half, what no pieces up to half can fill."""
+    half = capacity // 2
+    over = np.flatnonzero(left[half + 1:]) + half + 1
+    if not len(over):
+        return 0
+    sums, whole = 1, (1 << (half + 1)) - 1
+    for s in np.flatnonzero(left[:half + 1]).tolist():
+        sums = spread(sums, s, min(int(left[s]), half // s), whole)
+    bits = np.frombuffer(sums.to_bytes(half // 8 + 1, "little"), np.uint8)
+    fills = np.maximum.accumulate(np.where(np.unpackbits(bits, bitorder="little")[:half + 1], np.arange(half + 1), 0))
+    room = capacity - over
+    return int(left[over] @ (room - fills[room]))
+
+
+def spread(sums: int, s: int, n: int, whole: int) -> int:
+    """Sums, as bits, with up to n pieces of length s more."""
+    take = 1
+    while n:
+        take = min(take, n)
+        sums |= sums << take * s & whole
+        n, take = n - take, take * 2
+    return sums
+
+
+Filling = tuple[int, ...]  # lengths, shortest first
+
+
+def undominated(pieces: Filling, waste: int, others: int) -> bool:
+    """No piece outside (bits of `others`) could take the place of some of these, the same or more of the room filled.
+
+    Such a swap keeps the number of sequences: what leaves fits where the piece
+    was. It must win room, or put one piece in the place of several.
     """
-    sizes = np.array(sorted(s for s, n in counts.items() if n and s <= room))
-    if not len(sizes):
-        return [Counter()]
-    heads: list[list[int]] = [[int(sizes[-1])]]
-    top = 0
-    for a in sizes[::-1]:
-        rest = room - a
-        k = int(np.searchsorted(sizes, min(rest, a), side="right")) - 1
-        if k >= 0 and sizes[k] == a and counts[int(a)] < 2:
-            k -= 1
-        if k < 0:
+    one, more = 0, 0  # sums of one piece, of several
+    for p in pieces:
+        more |= (more | one) << p
+        one |= 1 << p
+    if others & more:
+        return False
+    grown, width = (one | more | 1) << 1, 1  # sums raised by 1 .. waste
+    while width < waste:
+        step = min(width, waste - width)
+        grown |= grown << step
+        width += step
+    return not waste or not others & grown
+
+
+def fillings(left: np.ndarray, room: int, most: int, after: tuple[int, Filling] | None = None) -> Iterator[tuple[int, Filling] | None]:
+    """The undominated fillings of a room with at most `most` of it wasted, in order.
+
+    Any number of pieces. Least waste comes first, then fewer pieces, then those
+    whose shortest piece is longest, since short ones are easy to place later. They
+    are listed as they are asked for: the sums that so many of the longer lengths
+    reach, as bits of a number, lead straight to each filling of a given sum. None
+    stands for a filling that is dominated, so that the caller can count the work.
+    Those up to `after` are left out.
+    """
+    sizes = np.flatnonzero(left[:room + 1]).tolist()
+    have = [int(left[s]) for s in sizes]
+    whole = (1 << (room + 1)) - 1
+    sums = 1  # of any pieces
+    for s, n in zip(sizes, have, strict=True):
+        sums = spread(sums, s, min(n, room // s), whole)
+    reach = [[1] * (len(sizes) + 1)]  # by number of pieces, then from which length on
+
+    def layer(m: int) -> list[int]:
+        while len(reach) <= m:
+            k = len(reach)
+            now = [0] * (len(sizes) + 1)
+            for j in range(len(sizes) - 1, -1, -1):
+                bits = now[j + 1]
+                for c in range(1, min(have[j], k) + 1):
+                    bits |= reach[k - c][j + 1] << c * sizes[j] & whole
+                now[j] = bits
+            reach.append(now)
+        return reach[m]
+
+    def exact(first: int, m: int, target: int) -> Iterator[Filling]:
+        """m pieces of the lengths from `first` on that sum to the target, shortest first."""
+        if not m:
+            yield ()
+            return
+        for j in range(bisect.bisect_right(sizes, target // m) - 1, first - 1, -1):
+            s = sizes[j]
+            for c in range(1, min(have[j], m) + 1):
+                if reach[m - c][j + 1] >> (target - c * s) & 1:
+                    for rest in exact(j + 1, m - c, target - c * s):
+                        yield (s,) * c + rest
+
+    available = sum(1 << s for s in sizes)
+    for waste in range(after[0] if after else 0, min(most, room) + 1):
+        target = room - waste
+        if not sums >> target & 1:
             continue
-        b = int(sizes[k])
-        if b <= top:
-            continue  # an earlier pair has a larger first and a larger second piece
-        top = b
-        if a + b > heads[0][0]:
-            heads.append([int(a), b])
-        if a < room // 2:
+        for m in range(target // sizes[0] + 1 if target else 1):
+            if not layer(m)[0] >> target & 1:
+                continue
+            for pieces in exact(0, m, target):
+                if after and waste == after[0] and (m, [-p for p in pieces]) <= (len(after[1]), [-p for p in after[1]]):
+                    yield None
+                    continue
+                others = available
+                for s, n in Counter(pieces).items():
+                    if n == left[s]:
+                        others ^= 1 << s
+                yield (waste, pieces) if undominated(pieces, waste, others) else None
+
+
+@dataclass
+class Plan:
+    patterns: list[Pattern]
+    sequences: int
+    bound: int  # no packing has fewer
+    steps: int = 0  # what the search took
+
+    @property
+    def gap(self) -> int:
+        return self.sequences - self.bound
+
+
+def plan(counts: dict[int, int], capacity: int = 1024, *, max_steps: int = 100_000, seed: int = 1) -> Plan:
+    """The shortest packing found within the steps, with a proven lower bound.
+
+    A quarter of the steps goes to the whole tree. What is left searches trees of
+    parts: some sequences that waste most, enough for one to be spared, and some
+    others by chance; a part that isn't longer takes the place of the old one.
+    """
+    best = search(counts, capacity, max_steps // 4)
+    rng = random.Random(seed)
+    patterns = sum((Counter({c: n}) for n, c in best.patterns), Counter())
+    idle = lambda c: capacity - sum(s * k for s, k in c)
+    volume = sum(s * n for s, n in counts.items())
+    for k in itertools.count():
+        spare = best.sequences * capacity - volume
+        if not best.gap or best.steps >= max_steps or spare < capacity:
             break
-    heads.sort(key=lambda h: -sum(h))
-    out, seen = [], set()
-    for head in heads[: 4 * width]:
-        c = Counter(head)
-        rest = room - sum(head)
-        while rest > 0:
-            k = int(np.searchsorted(sizes, rest, side="right")) - 1
-            while k >= 0 and counts[int(sizes[k])] <= c[int(sizes[k])]:
-                k -= 1
-            if k < 0:
+        part, won, many = Counter(), 0, max(1, best.gap // 8)  # sequences to win at once
+        goal = min(spare, many * capacity * (4 + k % 4 * 2) // 4)
+        for c in sorted(patterns, key=lambda c: (-idle(c), c)):
+            part[c] = min(patterns[c], -(-(goal - won) // max(1, idle(c))))
+            won += part[c] * idle(c)
+            if won >= goal:
                 break
-            c[int(sizes[k])] += 1
-            rest -= int(sizes[k])
-        key = tuple(sorted(c.items()))
-        if key not in seen:
-            seen.add(key)
-            out.append((rest, c))
-    out.sort(key=lambda x: x[0])
-    return [c for _, c in out[:width]]
-
-
-def plan(counts: dict[int, int], capacity: int = 1024, *, max_nodes: int = 3000, width: int = 6) -> list[Pattern]:
-    """The shortest packing found; each pattern says how many sequences hold which lengths."""
-    counts = {int(s): int(n) for s, n in counts.items() if n}
-    best = best_fit(counts, capacity)
-    n_best, bound = sum(n for n, _ in best), lower_bound(counts, capacity)
-    volume = sum(s * n for s, n in counts.items())
-    # (counts left, patterns so far, sequences so far, room wasted so far)
-    stack: list[tuple[dict[int, int], list[Pattern], int, int]] = [(counts, [], 0, 0)]
-    nodes = 0
-    while stack and nodes < max_nodes and n_best > bound:
-        left, done, used, waste = stack.pop()
-        nodes += 1
-        if -(-(volume + waste) // capacity) >= n_best:
-            continue
-        if not left:
-            if used < n_best:
-                best, n_best = done, used
-            continue
-        if nodes % 32 == 1:
-            rest = best_fit(left, capacity)
-            if used + sum(n for n, _ in rest) < n_best:
-                best, n_best = done + rest, used + sum(n for n, _ in rest)
-        largest = max(left)
+        others = sorted((patterns - part).items())
+        for c, n in rng.sample(others, min(len(others), 10 + 10 * (k % 4))):
+            part[c] += min(n, many)
+        lengths: Counter = Counter()
+        for c, n in part.items():
+            lengths.update({s: m * n for s, m in c})
+        found = search(lengths, capacity, min(2000, max_steps - best.steps))
+        best.steps += max(1, found.steps)
+        if found.sequences <= part.total():
+            patterns -= part
+            for n, c in found.patterns:
+                patterns[c] += n
+            best.sequences = patterns.total()
+    best.patterns = [(n, c) for c, n in sorted(patterns.items())]
+    return best
+
+
+def search(counts: dict[int, int], capacity: int, max_steps: int) -> Plan:
+    """Branch and bound; if the tree is searched whole, the bound is the packing's own length.
+
+    Sequences around equal largest pieces are alike, so their fillings are taken
+    in the order of `fillings`, each as often as the counts allow, then once less,
+    and so on: every packing that needn't be dominated is in the tree.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for s, n in counts.items():
+        left[s] += n
+    found = best_fit({int(s): int(left[s]) for s in np.flatnonzero(left)}, capacity)
+    best = Plan(found, sum(n for n, _ in found), lower_bound(left, capacity))
+    volume = int(left @ np.arange(capacity + 1))
+    steps = 0
+
+    def options(left: np.ndarray, waste: int, after: tuple[int, Filling] | None) -> Iterator[tuple[()] | tuple[np.ndarray, Pattern, int, tuple[int, Filling]]]:
+        """(counts left, pattern, room wasted, its filling) of the children of a node; empty for work without one."""
+        largest = int(np.flatnonzero(left)[-1])
+        fewest = -(-int(left[largest]) // (capacity // largest))  # sequences that will hold one, none with less waste than the one before
+        idle = (best.sequences - 1) * capacity - volume - waste
+        left = left.copy()
         left[largest] -= 1
-        options = fillings(left, capacity - largest, width)
-        left[largest] += 1
-        for c in reversed(options):
-            c = c + Counter([largest])
-            times = min(left[s] // k for s, k in c.items())
-            rest = {s: m for s, n in left.items() if (m := n - times * c[s])}
-            idle = capacity - sum(s * k for s, k in c.items())
-            stack.append((rest, [*done, (times, tuple(sorted(c.items(), reverse=True)))], used + times, waste + times * idle))
+        for got in fillings(left, capacity - largest, idle // fewest, after):
+            if got is None:
+                yield ()
+                continue
+            c = Counter((largest, *got[1]))
+            most = min((int(left[s]) + (s == largest)) // k for s, k in c.items())
+            for times in range(most, 0, -1):
+                rest = left.copy()
+                rest[largest] += 1
+                for s, k in c.items():
+                    rest[s] -= times * k
+                yield rest, (times, tuple(sorted(c.items(), reverse=True))), times * got[0], got
+
+    # Passes over the same tree: a path may leave the first choice 0, 1, 2, 4 ... times, so that
+    # choices near the root are reconsidered early; a pass that turned nothing away has seen all.
+    turns, whole = 0, False
+    while best.gap and not whole and steps < max_steps:
+        whole = True
+        stack, done = [[options(left, 0, None), 0, 0, turns, 0]], []  # open nodes, and the pattern that led to each but the first
+        while stack and best.gap:
+            if steps >= max_steps:
+                whole = False
+                break
+            steps += 1
+            more, used, waste, free, taken = stack[-1]
+            if taken and not free:
+                whole, got = False, None
+            elif -(-(volume + waste) // capacity) >= best.sequences:
+                got = None  # the room wasted so far rules out anything shorter than the incumbent
+            else:
+                got = next(more, None)
+            if got is None:
+                stack.pop()
+                if done:
+                    done.pop()
+                continue
+            if not got:
+                continue
+            rest, pattern, idle, filling = got
+            now, idle = used + pattern[0], waste + idle
+            if now + lower_bound(rest, capacity) >= best.sequences or -(-(volume + idle + least_waste(rest, capacity)) // capacity) >= best.sequences:
+                continue
+            stack[-1][4] += 1
+            if steps % 32 == 1 or not rest.any():
+                tail = best_fit({int(s): int(rest[s]) for s in np.flatnonzero(rest)}, capacity)
+                total = now + sum(n for n, _ in tail)
+                if total < best.sequences:
+                    best = Plan([*done, pattern, *tail], total, best.bound)
+            if rest.any():
+                same = pattern[1][0][0] == int(np.flatnonzero(rest)[-1])
+                done.append(pattern)
+                stack.append([options(rest, idle, filling if same else None), now, idle, free - (taken > 0), 0])
+        turns = 2 * turns or 1
+    if whole:
+        best.bound = best.sequences
+    best.steps = steps
     return best
 
 
@@ -235,20 +408,20 @@ def places(patterns: list[Pattern], capacity: int) -> dict[int, tuple[np.ndarray
 
 
 def pack_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 1024, end_id: int = 2,
-                   rows_a_part: int = 20_000, max_nodes: int = 3000) -> DataFrame:
+                   rows_a_part: int = 20_000, max_steps: int = 100_000) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     scratch = Scratch(df.sparkSession, "packing")
     pieces = scratch.keep(tokenised(df, vocabulary, id_col, text_col, end_id, capacity))
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     total = sum(counts.values())
     counts.pop(capacity, None)
-    where = places(plan(counts, capacity, max_nodes=max_nodes), capacity)
+    where = places(plan(counts, capacity, max_steps=max_steps).patterns, capacity)
 
     n_parts = max(1, -(-total // rows_a_part))
-    salted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(n_parts)))
+    salted = pieces.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(n_parts)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "part").orderBy("row")
     ranked = salted.withColumn("k", F.row_number().over(within) - 1).join(starts, ["length", "part"]).withColumn("rank", F.col("first") + F.col("k"))
 
     @F.pandas_udf("sequence_id long, offset long")

@@ -1,7 +1,9 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,8 +36,6 @@ def test_ids_equal_the_named_library(text):
 
 
 def test_equals_tokens_and_packs_whole(docs, rows, tokenizer):
-    import numpy as np
-
     got = pack_documents(docs, PATH).collect()
     want = Counter()
     for doc, text, *_ in rows:
@@ -85,26 +85,74 @@ def best(sizes, capacity):
     return found
 
 
-def test_plans_are_whole_and_nearly_always_shortest():
+def is_whole(plan, sizes, capacity):
+    used = Counter()
+    for times, contents in plan.patterns:
+        assert times > 0 and sum(s * k for s, k in contents) <= capacity
+        for s, k in contents:
+            used[s] += times * k
+    return used == Counter(sizes) and plan.sequences == sum(n for n, _ in plan.patterns)
+
+
+def test_plans_are_whole_and_shortest():
     rng = random.Random(3)
-    over = 0
-    for _ in range(60):
-        sizes = [rng.randint(1, 60) for _ in range(rng.randint(1, 10))]
+    searched = 0
+    for i in range(400):
+        sizes = [rng.randint(8, 30) for _ in range(rng.randint(8, 12))] if i % 2 else [rng.randint(1, 60) for _ in range(rng.randint(1, 10))]
         plan = packing.plan(Counter(sizes), 60)
-        used = Counter()
-        for times, contents in plan:
-            assert sum(s * k for s, k in contents) <= 60
-            for s, k in contents:
-                used[s] += times * k
-        assert used == Counter(sizes)
-        over += sum(n for n, _ in plan) - best(sizes, 60)
-    assert over <= 1
-
-
-def test_branch_and_bound_beats_best_fit():
-    counts = {6: 20, 5: 20, 4: 40, 3: 60, 2: 20, 7: 13}
-    assert sum(n for n, _ in packing.plan(counts, 12)) <= sum(n for n, _ in packing.best_fit(counts, 12))
-    assert sum(n for n, _ in packing.plan(counts, 12)) >= packing.lower_bound(counts, 12)
+        assert is_whole(plan, sizes, 60)
+        assert plan.sequences == plan.bound == best(sizes, 60)
+        searched += plan.steps > 0
+    assert searched >= 20
+
+
+def test_best_fit_alone_would_be_longer():
+    sizes = [9, 10, 10, 14, 15, 18, 19, 25]
+    assert sum(n for n, _ in packing.best_fit(Counter(sizes), 60)) == 3
+    assert packing.plan(Counter(sizes), 60).sequences == 2
+
+
+def test_parts_shorten_what_the_steps_leave_open():
+    rng = random.Random(8)
+    sizes = Counter(rng.choice([rng.randint(1, 1023), rng.randint(100, 600)]) for _ in range(3000))
+    few, more = (packing.plan(sizes, 1024, max_steps=n) for n in (40, 20_000))
+    assert is_whole(few, sizes, 1024) and is_whole(more, sizes, 1024)
+    assert more.bound <= more.sequences <= few.sequences <= sum(n for n, _ in packing.best_fit(sizes, 1024))
+    many = packing.plan({s: 10**6 * n for s, n in sizes.items()}, 1024, max_steps=3000)
+    assert is_whole(many, {s: 10**6 * n for s, n in sizes.items()}, 1024)
+
+
+def test_fillings_are_all_that_nothing_dominates():
+    rng = random.Random(5)
+    for _ in range(60):
+        counts = Counter(rng.randint(2, 15) for _ in range(7))
+        room = rng.randint(8, 30)
+        left = np.zeros(room + 20, np.int64)
+        for s, n in counts.items():
+            left[s] = n
+        pieces = sorted(counts.elements())
+        sets = {c for k in range(len(pieces) + 1) for c in combinations(pieces, k) if sum(c) <= room}
+
+        def swapped(c):
+            spare = room - sum(c)
+            parts = [p for k in range(len(c) + 1) for p in combinations(c, k)]
+            return any(sum(p) < x <= sum(p) + spare or sum(p) == x and len(p) > 1 for x in counts - Counter(c) for p in parts)
+
+        want = {c for c in sets if not swapped(c)}
+        got = [f for f in packing.fillings(left, room, room) if f]
+        assert {f for _, f in got} == want and len(got) == len(want)
+        assert [w for w, _ in got] == sorted(room - sum(f) for f in want)
+        for after in got:
+            assert [f for f in packing.fillings(left, room, room, after) if f] == got[got.index(after) + 1:]
+
+
+def test_bounds_never_exceed_the_shortest():
+    rng = random.Random(6)
+    for _ in range(200):
+        sizes = [rng.randint(1, 40) for _ in range(rng.randint(1, 9))]
+        left = np.bincount(sizes, minlength=41)
+        least = -(-(sum(sizes) + packing.least_waste(left, 40)) // 40)
+        assert max(packing.lower_bound(left, 40), least) <= best(sizes, 40)
 
 
 def test_empty_table(empty):
