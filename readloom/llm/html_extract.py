@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom import ship
-from readloom.llm.html_blocks import Block, blocks
+from readloom.llm.html_blocks import Block, Place, blocks
 
 ship(__name__)
 
@@ -39,8 +39,8 @@ def text_features(b: Block, before: Block | None, after: Block | None) -> list[s
     marks = sum(b.text.count(c) for c in ".,;")
     return [
         "bias", f"size:{size}", f"link:{0 if dense < 0.05 else 1 if dense < 0.5 else 2}", f"ends:{ends}", f"size-ends:{min(size, 4)}:{ends}",
-        f"marks:{min(3, marks)}", f"copy:{b.text[0] == '©' or '©' in b.text[:20]}", f"same:{before is not None and before.path == b.path}",
-        f"next:{after is not None and after.path == b.path}", f"first:{before is None}", f"last:{after is None}",
+        f"marks:{min(3, marks)}", f"copy:{b.text[0] == '©' or '©' in b.text[:20]}", f"same:{before is not None and before.place is b.place}",
+        f"next:{after is not None and after.place is b.place}", f"first:{before is None}", f"last:{after is None}",
     ]
 
 
@@ -50,8 +50,19 @@ class Crf:
     step: np.ndarray  # by (label before, label)
     begin: np.ndarray
 
-    def labels(self, page: list[Block], cache: dict[tuple[str, ...], float]) -> list[bool]:
-        """Viterbi over the blocks of one page."""
+    def at(self, place: Place) -> float:
+        """What the ancestors add, each place's sum kept with it."""
+        get, todo = self.weight.get, []
+        while place is not None and place.score is None:
+            todo.append(place)
+            place = place.around
+        total = place.score if place is not None else 0.0
+        for place in reversed(todo):
+            total = place.score = total + sum(get(f, 0.0) for f in place.own)
+        return total
+
+    def labels(self, page: list[Block]) -> list[bool]:
+        """Viterbi over the blocks of one page; their places keep the sums, so they serve one model."""
         if not page:
             return []
         get = self.weight.get
@@ -59,9 +70,7 @@ class Crf:
         back: list[tuple[int, int]] = []
         (s00, s01), (s10, s11) = self.step.tolist()
         for i, block in enumerate(page):
-            e = cache.get(block.path)
-            if e is None:
-                e = cache[block.path] = sum(get(f, 0.0) for f in path_features(block.path))
+            e = self.at(block.place) + sum(get(f, 0.0) for f in place_features(block.place))
             e += sum(get(f, 0.0) for f in text_features(block, page[i - 1] if i else None, page[i + 1] if i + 1 < len(page) else None))
             if b is None:
                 b = float(self.begin[1]) + e
@@ -74,9 +83,8 @@ class Crf:
         return [bool(x) for x in reversed(out)]
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
-    tags = [f for f in path if f[:2] == "a:"]
-    return [*path, f"leaf:{tags[-1] if tags else ''}", f"main:{'a:article' in path or 'a:main' in path}"]
+def place_features(place: Place) -> tuple[str, ...]:
+    return f"leaf:{place.leaf}", f"main:{place.main}", f"zone:{place.zone}:{place.main}"
 
 
 def train(pages: list[tuple[list[Block], list[bool]]], *, rounds: int = 220, ridge: float = 0.5, rate: float = 0.15) -> Crf:
@@ -85,7 +93,7 @@ def train(pages: list[tuple[list[Block], list[bool]]], *, rounds: int = 220, rid
     flat, starts, y, at, first = [], [], [], [], []
     for page, labels in pages:
         for i, (b, label) in enumerate(zip(page, labels, strict=True)):
-            fs = [*path_features(b.path), *text_features(b, page[i - 1] if i else None, page[i + 1] if i + 1 < len(page) else None)]
+            fs = [*b.path, *place_features(b.place), *text_features(b, page[i - 1] if i else None, page[i + 1] if i + 1 < len(page) else None)]
             starts.append(len(flat))
             flat += [names.setdefault(f, len(names)) for f in fs]
             y.append(label)
@@ -141,10 +149,13 @@ PARTS: dict[str, list[str]] = {
     "notice": ['<div class="notice">', '<div class="cookie-notice">', '<div id="cookie-consent">', '<div class="gdpr banner">', '<div class="alert">', '<div role="alert">', '<div class="warning message">', '<div role="dialog">', '<div class="modal popup">', '<div class="paywall">', '<div class="disclaimer">'],
     "ad": ['<div class="ad">', '<div class="ads">', '<div class="advert">', '<div id="advertisement">', '<div class="sponsored">', '<div class="promo">', '<aside class="ad">', '<div class="banner">', '<section class="promotion">', '<div class="sponsor">'],
     "form": ["<form>", '<form class="newsletter">', '<div class="subscribe">', '<form id="search">', '<div class="signup form">', '<form class="login">', '<div class="newsletter">', '<fieldset>'],
-    "comment": ['<section class="comments">', '<div id="comments">', '<div class="comment">', '<ol class="comment-list">', '<div id="disqus_thread">', '<div class="replies">', '<article class="comment">', '<section id="respond">', '<div class="discussion">', '<div class="reviews">'],
+    "comment": ['<section class="comments">', '<section id="user-comments">', '<div class="user comment">', '<div id="comments">', '<div class="comment">', '<ol class="comment-list">', '<div id="disqus_thread">', '<div class="replies">', '<article class="comment">', '<section id="respond">', '<div class="discussion">', '<div class="reviews">'],
     "share": ['<div class="share">', '<ul class="social">', '<div class="social-links">', '<div class="byline meta">', '<div class="pagination">', '<div class="author-bio">'],
 }
-BODIES = ["<article>", "<article>", "<article>", "<main>", "<main><article>", '<div class="content">', '<div id="content">', '<div class="post-content">', '<div class="entry">', '<div class="article-body">', '<section class="story">', '<div itemprop="articleBody">', '<article class="post">', '<div role="main">', "<div>"]
+BODIES = ["<article>", "<article>", "<article>", "<main>", "<main>", '<main id="main">', "<main><article>", '<div class="content">', '<div id="content">', '<div class="post-content">', '<div class="entry">', '<div class="article-body">', '<section class="story">', '<div itemprop="articleBody">', '<article class="post">', '<div role="main">', "<div>"]
+
+
+INSIDE = ["ad", "ad", "form", "notice", "side", "share", "comment", "comment", "menu"]  # parts that stand between the blocks of an article
 
 
 def _closing(opened: str) -> str:
@@ -160,15 +171,20 @@ def labelled_page(rng: np.random.Generator, pool: list[str]) -> str:
     """A page whose main text blocks begin with MAIN."""
     word = lambda: pool[int(rng.integers(0, len(pool)))]
 
+    dotted = rng.random() < 0.6  # so that marks and lengths alone tell little
+
     def prose(low: int, high: int) -> str:
         w = [pool[i] for i in rng.integers(0, len(pool), int(rng.integers(low, high)))]
-        for i in range(0, len(w), 9):
+        for i in range(0, len(w) if dotted else 1, 9):
             w[i] = w[i].capitalize()
-            w[i - 1 if i else -1] += "." if rng.random() < 0.8 else ","
+            if dotted:
+                w[i - 1 if i else -1] += "." if rng.random() < 0.9 else ","
         return " ".join(w)
 
     def part(kind: str) -> str:
         open_ = PARTS[kind][int(rng.integers(0, len(PARTS[kind])))]
+        if rng.random() < 0.3:  # it reads like an article
+            return open_ + "".join(f"<p>{prose(5, 90)}</p>" for _ in range(int(rng.integers(1, 3)))) + _closing(open_)
         link = lambda: f'<a href="/x">{prose(1, 4)}</a>'
         if kind in ("menu", "share"):
             inner = "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(int(rng.integers(1, 7)))) + "</ul>" if rng.random() < 0.8 else " ".join(link() for _ in range(3))
@@ -189,38 +205,53 @@ def labelled_page(rng: np.random.Generator, pool: list[str]) -> str:
 
     body = BODIES[int(rng.integers(0, len(BODIES)))]
     heading = f"<h1>{MAIN}{prose(2, 12)}</h1>"
-    items = [f"<header>{heading}</header>" if rng.random() < 0.15 else heading] if rng.random() < 0.9 else []
+    items = [f"<header>{heading}</header>" if rng.random() < 0.25 and ("<article" in body or "<main" in body) else heading] if rng.random() < 0.9 else []
     if rng.random() < 0.4:
         items.append(f"<p><b>{MAIN}{prose(1, 30)}<br>" + "<p>" * (rng.random() < 0.5))
     for _ in range(int(rng.integers(0, 3) if rng.random() < 0.25 else rng.integers(1, 14))):
         r = rng.random()
-        if r < 0.78:
+        if r < 0.62:
             items.append(f"<p>{MAIN}{prose(1 if rng.random() < 0.2 else 8, 90)}" + ("</p>" if rng.random() < 0.9 else ""))
-        elif r < 0.84:
+        elif r < 0.68:
             items.append(f"<h2>{MAIN}{prose(1, 7)}</h2>")
-        elif r < 0.88:
+        elif r < 0.72:
             items.append("<ul>" + "".join(f"<li>{MAIN}{prose(1, 25)}</li>" for _ in range(3)) + "</ul>")
-        elif r < 0.91:
+        elif r < 0.75:
             items.append(f"<blockquote>{MAIN}{prose(5, 30)}</blockquote>")
-        elif r < 0.93:
+        elif r < 0.77:
             items.append(f"<table><tr><td>{MAIN}{prose(1, 4)}<td>{MAIN}{prose(1, 4)}</table>")
         else:
-            items.append(part(["ad", "form", "notice", "side", "share", "ad"][int(rng.integers(0, 6))]))
+            items.append(part(INSIDE[int(rng.integers(0, len(INSIDE)))]))
+    for kind in ("share", "form", "side", "comment", "comment", "footer"):  # what often ends an article
+        if rng.random() < 0.1:
+            items.append(part(kind))
     kinds = lambda some: "".join(part(k) for k in some if rng.random() < 0.6)
     top = kinds(["notice", "header", "menu", "ad", "side", "form"])
     end = kinds(["share", "side", "ad", "form", "comment", "comment", "menu", "footer", "notice"])
-    wrap = rng.random() < 0.3
-    return f"<html><head><title>{prose(1, 6)}</title></head><body>{'<div class=wrap>' * wrap}{top}{body}{''.join(items)}{_closing(body)}{end}{'</div>' * wrap}"
-
-
-def labelled_pages(count: int = 800, seed: int = 1) -> list[tuple[list[Block], list[bool]]]:
+    wrap, shape = rng.random() < 0.3, rng.random()
+    if shape < 0.2:  # an article and nothing else, down to one block, or to text without markup
+        top = end = ""
+        if shape < 0.12:
+            items = [f"<p>{MAIN}{prose(2, 90)}</p>" if shape < 0.08 else MAIN + prose(8, 90)]
+            body = body if shape < 0.06 or shape > 0.1 else "<body>"
+    elif shape < 0.28:
+        top = ""
+    elif shape < 0.36:
+        end = ""
+    elif shape < 0.39:  # no article
+        items, body = [], "<div>"
+    head = f"<html><head><title>{prose(1, 6)}</title></head><body>" if rng.random() < 0.8 else ""
+    return f"{head}{'<div class=wrap>' * wrap}{top}{body}{''.join(items)}{_closing(body)}{end}{'</div>' * wrap}"
+
+
+def labelled_pages(count: int = 1600, seed: int = 1) -> list[tuple[list[Block], list[bool]]]:
     rng = np.random.default_rng(seed)
     out, pool = [], word_pool(rng)
     for _ in range(count):
         page = blocks(labelled_page(rng, pool))
         if page:
             labels = [MAIN in b.text for b in page]
-            out.append(([Block(b.path, b.text.replace(MAIN, "") or "x", b.linked) for b in page], labels))
+            out.append(([Block(b.place, b.text.replace(MAIN, "") or "x", b.linked) for b in page], labels))
     return out
 
 
@@ -230,9 +261,9 @@ def default_model() -> Crf:
     return train(labelled_pages())
 
 
-def extract_text(page: str | None, model: Crf, cache: dict) -> str:
-    found = blocks(page)
-    return " ".join(b.text for b, main in zip(found, model.labels(found, cache), strict=True) if main)
+def extract_text(page: str | None, model: Crf, places: dict | None = None) -> str:
+    found = blocks(page, places)
+    return " ".join(b.text for b, main in zip(found, model.labels(found), strict=True) if main)
 
 
 def extract_pages(df: DataFrame, model: Crf | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -243,8 +274,8 @@ def extract_pages(df: DataFrame, model: Crf | None = None, id_col: str = "page_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cache: dict = {}  # pages of one batch share paths; a batch bounds what is kept
-            texts = [extract_text(x, sent.value, cache) for x in b.column(2).to_pylist()]
+            places: dict = {}  # pages of one batch share places; a batch bounds what is kept
+            texts = [extract_text(x, sent.value, places) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

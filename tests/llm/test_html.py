@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -25,7 +26,7 @@ def test_blocks_of_broken_markup():
 def test_held_out_blocks(model):
     wrong = total = 0
     for page, labels in labelled_pages(150, seed=77):
-        got = model.labels(page, {})
+        got = model.labels(page)
         wrong += sum(a != b for a, b in zip(got, labels))
         total += len(labels)
     assert wrong <= 0.01 * total
@@ -36,13 +37,13 @@ def test_viterbi_is_the_best_of_all_labellings(model):
 
     for page, _ in labelled_pages(30, seed=3):
         page = page[:8]
-        e = [sum(model.weight.get(f, 0.0) for f in [*html_extract.path_features(b.path), *html_extract.text_features(b, page[i - 1] if i else None, page[i + 1] if i + 1 < len(page) else None)]) for i, b in enumerate(page)]
+        e = [sum(model.weight.get(f, 0.0) for f in [*b.path, *html_extract.place_features(b.place), *html_extract.text_features(b, page[i - 1] if i else None, page[i + 1] if i + 1 < len(page) else None)]) for i, b in enumerate(page)]
 
         def score(y):
             return model.begin[y[0]] + sum(e[i] * y[i] for i in range(len(y))) + sum(model.step[a, b] for a, b in zip(y, y[1:]))
 
         best = max(score(y) for y in product((0, 1), repeat=len(page)))
-        assert np.isclose(score([int(x) for x in model.labels(page, {})]), best)
+        assert np.isclose(score([int(x) for x in model.labels(page)]), best)
 
 
 def test_driver_pages(spark, model):
@@ -54,6 +55,69 @@ def test_driver_pages(spark, model):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
 
 
+def say(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(2, 9)))) for _ in range(n))
+
+
+@pytest.mark.parametrize("dot", [".", ""])
+def test_articles_without_the_rest_of_the_page(model, dot):
+    for seed in range(20):
+        a, b, t = say(seed, 50) + dot, say(seed + 100, 30) + dot, say(seed + 200, 6)
+        cases = [
+            (f"<article><p>{a}</p></article>", a), (f"<p>{a}</p>", a), (a, a), (f"<main>{a}</main>", a),
+            (f"<article><p>{a}</p><blockquote>{b}</blockquote><ul><li>{t}</li></ul></article>", f"{a} {b} {t}"),
+            (f"<html><head><title>{t}</title></head><body><article><h1>{t}</h1><p>{a}</p><p>{b}</p></article></body></html>", f"{t} {a} {b}"),
+        ]
+        for page, want in cases:
+            assert html_extract.extract_text(page, model) == want
+
+
+@pytest.mark.parametrize("dot", [".", ""])
+def test_parts_inside_an_article_go(model, dot):
+    for seed in range(20):
+        a, b, other, t = say(seed, 50) + dot, say(seed + 100, 30) + dot, say(seed + 300, 40) + dot, say(seed + 200, 6)
+        parts = [
+            f"<section id='user-comments'><h3>{t}</h3><p>{other}</p><p>{t}</p></section>", f"<div class='comments'><div class='comment'><b>{t}</b><p>{other}</p></div></div>",
+            f"<div class='notice'><p>{other}</p></div>", f"<form><label>{t}</label><p>{other}</p><input></form>", f"<aside><p>{other}</p></aside>", f"<div class='ad'>{other}</div>", f"<nav><a href='/'>{t}</a></nav>",
+        ]
+        for part in parts:
+            assert html_extract.extract_text(f"<article><h1>{t}</h1><p>{a}</p>{part}<p>{b}</p></article>", model) == f"{t} {a} {b}"
+            assert html_extract.extract_text(f"<body><header><h2>{t}</h2></header><main><p>{a}</p><p>{b}</p>{part}</main><footer>{other}</footer>", model) == f"{a} {b}"
+
+
+def test_pages_without_an_article_are_empty(model):
+    for page in ("<nav><ul><li><a href='/'>home</a></li></ul></nav>", "<nav>only</nav><footer>&copy; 2020 example</footer>", "<html><head><title>t</title></head><body></body></html>"):
+        assert html_extract.extract_text(page, model) == ""
+
+
+HOSTILE = {
+    "nested": lambda k: "<div>" * k + "x", "open tags": lambda k: '<a "' * k, "unmatched": lambda k: "<b>" * k + "</i></div>" * k, "crossed": lambda k: "<i>" * k + "<b>" * k + "</i>" * k,
+    "items": lambda k: "<div>" * k + "<li></li>" * k, "classes": lambda k: "".join(f"<div class='{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}'>" for i in range(k)) + "x",
+    "quotes": lambda k: '<a x="' * k + '>"', "angles": lambda k: "<" * k, "comments": lambda k: "<!--" * k, "scripts": lambda k: "<script>" * k, "spaces": lambda k: "<a " + "= " * k + ">",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_is_in_proportion_to_the_page(name, model):
+    took = []
+    for k in (25_000, 100_000):
+        began = time.process_time()
+        html_extract.extract_text(HOSTILE[name](k), model)
+        took.append(time.process_time() - began)
+    assert took[1] < 1 + 8 * took[0] and took[1] < 4
+
+
+def test_tags_and_heads():
+    text = lambda page: [b.text for b in blocks(page)]
+    assert text('<p title="a > b">x</p>') == ["x"] and text("<p title='never ends>x</p><p>y") == ["x", "y"]
+    assert text("<head><title>t</title><meta a=b><p>x") == ["x"] and text("<head>x</head><p>y") == ["x", "y"]
+    assert text("1 < 2 <3 </ 4") == ["1 < 2 <3 </ 4"]
+    assert [b.linked for b in blocks("<p><a>ab</a> c<p>d<a>e<p>f</a>g")] == [2, 1, 0]
+    shared: dict = {}
+    assert blocks("<div><p>a", shared)[0].place is blocks("<div><p>b", shared)[0].place
+
+
 def test_odd_rows(spark, model):
     rows = [(1, "u", None, "x"), (None, None, "", "x"), (2, None, "<p>" * 5000 + "deep", "x"), (3, "u", "<nav>only</nav>", "x"), (3, "u", "<nav>only</nav>", "x")]
     t = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
