@@ -11,8 +11,8 @@ and bit j of the word's hash says whether to move on. Edit distance becomes
 Hamming distance, and the walk has one length for all items, so a document is
 walked once a seed. Repeated samples of a few positions are looked up among the
 items' own samples. The number of repeats is chosen when the items are prepared:
-edited copies of the items' parts are embedded until the wanted share of them is
-found again. An edit takes at most three of the word pairs that a part shares with its
+repeats are added until the wanted share of edited copies of the items' parts, of
+each length, is found again; where `most_repeats` don't do, that is an error. An edit takes at most three of the word pairs that a part shares with its
 place, so a start whose next words hold too few pairs of any item isn't walked:
 it can't be within the distance. Hits are confirmed by the exact edit distance
 between the item and its best place in the surrounding words.
@@ -62,7 +62,7 @@ class Index:
     samples: list[np.ndarray] = field(default_factory=list)  # positions, by repeat; repeat r uses walk r % len(bits)
     keys: list[np.ndarray] = field(default_factory=list)
     owner: list[np.ndarray] = field(default_factory=list)  # (item, offset of the part), in the order of keys
-    recall: float = 0.0  # share of the edited copies that some repeat found
+    recall: float = 0.0  # share of the edited copies that some repeat found, of the length with the least
 
     def allowed(self, item: int) -> int:
         return int(self.rate * len(self.words[item]))
@@ -89,7 +89,7 @@ def sample_key(put_out: np.ndarray, positions: np.ndarray) -> np.ndarray:
 
 
 def prepare(items: list[tuple[int, str]], *, part: int, rate: float, recall: float, walks: int, picks: int, most: int, seed: int) -> Index | None:
-    """Embed the items' parts and add repeats until `recall` of edited copies are found."""
+    """Embed the items' parts and add repeats until `recall` of edited copies of each length are found; an error if `most` don't do."""
     rng = np.random.default_rng(seed)
     vocabulary: dict[bytes, int] = {}
     ids, coded = [], []
@@ -125,27 +125,41 @@ def prepare(items: list[tuple[int, str]], *, part: int, rate: float, recall: flo
             at = np.minimum(at + ((b[out[:, j]] >> np.uint64(j)) & np.uint64(1)).astype(np.int64), end)
         return out
 
-    # edited copies: as many random insertions, deletions or changes as a part may have
-    trial_of = rng.integers(0, len(parts), 2000)
+    # edited copies of the parts, as many of each length: as many random insertions, deletions or
+    # changes as a part may have, then words of the items by chance, which stand for what follows
+    lengths = np.array([min(part, len(p)) for p in parts])
+    classes = np.unique(lengths)
+    trial_of = np.concatenate([rng.choice(np.flatnonzero(lengths == n), 2000 // len(classes)) for n in classes])
+    after = rng.integers(0, len(vocabulary) + 1, (len(trial_of), steps))
     trials = []
-    for t in trial_of:
-        r = list(coded[owners[t][0]][owners[t][1]:])
-        for _ in range(int(rate * min(part, len(r)))):
-            p, kind = int(rng.integers(0, min(part, len(r)))), rng.integers(0, 3)
+    for t, rest in zip(trial_of, after, strict=True):
+        n = int(lengths[t])
+        r = coded[owners[t][0]][owners[t][1]:].tolist()
+        for _ in range(int(rate * n)):
+            p, kind = int(rng.integers(0, n)), rng.integers(0, 3)
             if kind == 0:
                 r.insert(p, 0)
             elif kind == 1 and len(r) > 1:
-                del r[p]
+                del r[min(p, len(r) - 1)]
             else:
-                r[p] = 0
-        trials.append(np.array(r, np.int32))
+                r[min(p, len(r) - 1)] = 0
+        trials.append(np.array([*r, *rest], np.int32))
     whole = [coded[k][o:] for k, o in owner]
     put_items, put_trials = [embed(whole, b) for b in bits], [embed(trials, b) for b in bits]
-    # a sample reads only the first positions, which `part` words are sure to feed in most walks
-    reach = min(steps, max(picks, 2 * part))
     missed = np.ones(len(trials), bool)
-    for r in range(most):
-        pos = np.sort(rng.choice(reach, picks, replace=False))
+    of = lengths[trial_of]
+    while True:
+        # a repeat for the length that is found least: it reads the first positions, which so many words feed in most walks
+        found = [1 - float(missed[of == n].mean()) for n in classes]
+        index.recall = min(found)
+        if index.recall >= recall:
+            return index
+        r = len(index.samples)
+        if r >= most:
+            raise ValueError(f"only {index.recall:.3f} of edited copies are found after {r} repeats, not {recall}: allow more repeats or fewer edits")
+        n = int(classes[int(np.argmin(found))])
+        reach = min(steps, n + n // 2 if n < part else 2 * part)
+        pos = np.sort(rng.choice(reach, min(picks, n), replace=False))
         b = r % walks
         index.samples.append(pos)
         k = sample_key(put_items[b], pos)
@@ -153,10 +167,6 @@ def prepare(items: list[tuple[int, str]], *, part: int, rate: float, recall: flo
         index.keys.append(k[order])
         index.owner.append(owners[order])
         missed &= sample_key(put_trials[b], pos) != k[trial_of]
-        index.recall = 1 - float(missed.mean())
-        if index.recall >= recall:
-            break
-    return index
 
 
 def best_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -245,7 +255,7 @@ def leaks_in(texts: list[str | None], index: Index) -> list[list[tuple[int, int,
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
-               part: int = 12, rate: float = 0.2, recall: float = 0.99, walks: int = 8, picks: int = 4, most_repeats: int = 64, block_items: int = 20_000, seed: int = 5) -> DataFrame:
+               part: int = 12, rate: float = 0.2, recall: float = 0.99, walks: int = 8, picks: int = 4, most_repeats: int = 256, block_items: int = 20_000, seed: int = 5) -> DataFrame:
     """A row for each document and item that it leaks: doc_id, item_id, distance, item_words, start_word, end_word."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, distance int, item_words int, start_word int, end_word int"
@@ -284,7 +294,7 @@ def _indexes(items: DataFrame, id_col: str, text_col: str, block_items: int, **h
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
-                    part: int = 12, rate: float = 0.2, recall: float = 0.99, walks: int = 8, picks: int = 4, most_repeats: int = 64, block_items: int = 20_000, seed: int = 5) -> DataFrame:
+                    part: int = 12, rate: float = 0.2, recall: float = 0.99, walks: int = 8, picks: int = 4, most_repeats: int = 256, block_items: int = 20_000, seed: int = 5) -> DataFrame:
     """The rows of the documents that leak no item, with all their columns, without a shuffle."""
     for sent in _indexes(items, item_id_col, item_text_col, block_items, part=part, rate=rate, recall=recall, walks=walks, picks=picks, most=most_repeats, seed=seed):
 

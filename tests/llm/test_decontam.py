@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from readloom.llm import decontam
 from readloom.llm.decontam import clean_documents, find_leaks, tokens
@@ -46,18 +47,38 @@ def test_clean_documents_stay(spark, docs, rows, passages):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in rows if r[0] not in dirty)
 
 
-def test_recall_is_reached():
+def edited(rng, w, most):
+    w = list(w)
+    for _ in range(most):
+        k, kind = int(rng.integers(0, len(w))), rng.integers(0, 3)
+        if kind == 0:
+            w.insert(k, "zzz")
+        elif kind == 1 and len(w) > 1:
+            del w[k]
+        else:
+            w[k] = "zzz"
+    return w
+
+
+@pytest.mark.parametrize("lengths", [(40,), (15, 18), (8,), (5,), (2,), (1,), (1, 5, 8, 12, 40, 59)])
+def test_recall_is_reached(lengths):
     rng = np.random.default_rng(1)
-    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 500, 40))) for i in range(50)]
-    index = decontam.prepare(items, part=12, rate=0.2, recall=0.99, walks=8, picks=4, most=64, seed=5)
-    assert index.recall >= 0.97
+    words = [f"w{x}" for x in range(3000)]
+    items = [(i, " ".join(rng.choice(words, lengths[i % len(lengths)]))) for i in range(120)]
+    index = decontam.prepare(items, part=12, rate=0.2, recall=0.99, walks=8, picks=4, most=256, seed=5)
+    assert index.recall >= 0.99
     found = 0
-    for i, text in items:
-        w = text.split()
-        for k in rng.choice(40, 6, replace=False):
-            w[k] = "zzz"
-        found += i in {x[0] for x in decontam.leaks_in([" ".join(["pre"] * 20 + w + ["post"] * 20)], index)[0]}
-    assert found >= 49
+    for i, text in items:  # with all the edits that are allowed, between words that items hold too
+        w = edited(rng, text.split(), int(0.2 * len(text.split())))
+        around = rng.choice(words, 60).tolist()
+        found += i in {x[0] for x in decontam.leaks_in([" ".join(around[:30] + w + around[30:])], index)[0]}
+    assert found >= 118
+
+
+def test_recall_that_is_not_reached_is_an_error():
+    items = [(0, " ".join(f"w{x}" for x in range(40)))]
+    with pytest.raises(ValueError, match="edited copies"):
+        decontam.prepare(items, part=12, rate=0.2, recall=0.99, walks=8, picks=4, most=2, seed=5)
 
 
 def test_best_place_equals_cells():
