@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from readloom.llm import suffix_dedup
 from readloom.llm.suffix_dedup import repeated_passages
@@ -49,6 +50,21 @@ def test_a_partner_that_third_documents_hide_is_found(spark):
     assert got == want and len(want) >= 50
 
 
+@pytest.mark.parametrize("times", [20, 150, 400])
+def test_a_passage_that_one_document_repeats(spark, times):
+    """Rows of one document fill whole partitions between those of the other one that holds the passage."""
+    rng = np.random.default_rng(times)
+    prose = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    passage = prose(60)
+    rows = [(1, " ".join(w for _ in range(times) for w in passage + prose(30))), (2, " ".join(prose(20) + passage + prose(20)))]
+    rows += [(10 + k, " ".join(prose(200))) for k in range(30)]
+    want = brute(rows)
+    got = {d: [False] * len(h) for d, h in want.items()}
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id][r.start_word:r.end_word] = [True] * r.n_words
+    assert got == want and sum(want[1]) == 60 * times
+
+
 def test_partition_ends_hide_nothing(docs):
     spans = lambda n: sorted(map(tuple, repeated_passages(docs, docs_a_part=n).collect()))
     assert spans(2) == spans(10_000)
