@@ -10,8 +10,13 @@ broadcast; beyond it the filter only lets more lines through.
 
 Pass 2 lets the filter's suspects through as 128-bit digests, and only they are
 shuffled: exact counts of documents and the largest doc_id, per key. A hot key
-is pre-aggregated before the shuffle, and its join is one that adaptive
-execution can split. Documents without a suspected line skip the last join.
+is pre-aggregated before the shuffle.
+
+Pass 3 cuts the lines. Up to `broadcast_rows` confirmed keys (some 30 bytes each)
+go to every task, and no text is shuffled. Beyond that, each document that loses
+a line is joined with the digests that it loses, by its id; a filter of those
+ids keeps the other documents out of the shuffle, and adaptive execution can
+split the joins' hot keys. Both ways give the same rows.
 
 Definitions. A text is split at \\n; null and empty texts are one empty line. A
 key is the line without [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased. Rows
@@ -67,8 +72,34 @@ def key_hashes(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "h long")
 
 
+class Keys:
+    """Digests with a keeper each, for look-ups of many at a time."""
+
+    def __init__(self, table: pa.Table) -> None:
+        hi, lo = (table.column(c).to_numpy() for c in ("hi", "lo"))
+        order = np.lexsort((hi, lo))
+        self.hi, self.lo, self.keeper = hi[order], lo[order], table.column("keeper").combine_chunks().take(pa.array(order))
+
+    def find(self, digests: list[tuple[int, int]]) -> Iterator[tuple[int, object]]:
+        """(place in the list, keeper) of those that are known."""
+        want = np.array(digests, np.int64).reshape(-1, 2)
+        at = np.searchsorted(self.lo, want[:, 1])
+        live = np.arange(len(want))
+        while len(live):  # one turn, unless different keys share a half
+            live = live[at[live] < len(self.lo)]
+            live = live[self.lo[at[live]] == want[live, 1]]
+            same = self.hi[at[live]] == want[live, 0]
+            yield from zip(live[same].tolist(), self.keeper.take(pa.array(at[live[same]])).to_pylist(), strict=True)
+            live = live[~same]
+            at[live] += 1
+
+
+def id_hash(doc: object) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(repr(doc).encode()), "big", signed=True)
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: int = 20, copies: int = 3,
-                carry: list[str] | None = None, max_filter_bits: int = 1 << 28) -> DataFrame:
+                carry: list[str] | None = None, max_filter_bits: int = 1 << 28, broadcast_rows: int = 1 << 20) -> DataFrame:
     """One row a row: doc_id, the kept text, n_lines and n_dropped, then `carry`.
 
     Lines whose key has at least `least` code points and is in at least `copies`
@@ -82,62 +113,95 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     bits = bloom.bits_for(10 * df.count(), max_filter_bits)  # ten lines in a usual document
     filt = spark.sparkContext.broadcast(bloom.build(key_hashes(docs, least), bits, twice=True))
 
-    def suspected(doc, text) -> list[tuple[int, int]]:
-        if doc is None or not (got := row_digests(text, least)):
-            return []
-        keep = bloom.may_hold(filt.value, np.array([lo for _, lo in got], np.int64))
-        return [g for g, k in zip(got, keep, strict=True) if k]
-
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            at, hi, lo = [], [], []
+            at, got = [], []
             for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                for x, y in suspected(doc, text):
-                    at.append(i)
-                    hi.append(x)
-                    lo.append(y)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["doc_id", "hi", "lo"])
-
-    def split(want: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                is_one = [bool(suspected(d, t)) == want for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-                yield b.filter(pa.array(is_one, pa.bool_()))
-
-        return docs.mapInArrow(run, ", ".join(wide))
+                if doc is not None:
+                    found = row_digests(text, least)
+                    at += [i] * len(found)
+                    got += found
+            key = np.array(got, np.int64).reshape(-1, 2)
+            hit = bloom.may_hold(filt.value, key[:, 1])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(at, np.int64)[hit])), pa.array(key[hit, 0]), pa.array(key[hit, 1])], names=["doc_id", "hi", "lo"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = scratch.keep(docs.select("doc_id", "text").mapInArrow(suspects, f"doc_id {kind}, hi long, lo long"))
     confirmed = scratch.keep(
         found.dropDuplicates(["hi", "lo", "doc_id"]).groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= copies).drop("n")
     )
+    schema = ", ".join([*wide, "n_lines long", "n_dropped long"])
+    names = [*(w.split(" ")[0] for w in wide), "n_lines", "n_dropped"]
+
+    def with_texts(b: pa.RecordBatch, lost: list[set[int]]) -> pa.RecordBatch:
+        """The batch without the lines whose places are lost, by row."""
+        texts, n, dropped = [], [], []
+        for text, gone in zip(b.column(1).to_pylist(), lost, strict=True):
+            lines = text.split("\n")
+            n.append(len(lines))
+            dropped.append(len(gone))
+            texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *(b.column(i) for i in range(2, len(wide))), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=names)
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select("doc_id", "text", "n_lines", "n_dropped", *(F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)))
+
+    if confirmed.count() <= broadcast_rows:
+        scratch.drop(found)
+        known = spark.sparkContext.broadcast(Keys(confirmed.toArrow()))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                ids, row, line, got = b.column(0).to_pylist(), [], [], []
+                for i, text in enumerate(b.column(1).to_pylist()):
+                    if ids[i] is not None:
+                        for j, k in enumerate(line_keys(text, least)):
+                            if k is not None:
+                                row.append(i)
+                                line.append(j)
+                                got.append(digest(k))
+                lost: list[set[int]] = [set() for _ in ids]
+                for at, keeper in known.value.find(got):
+                    if ids[row[at]] != keeper:
+                        lost[row[at]].add(line[at])
+                yield with_texts(b, lost)
+
+        return back(docs.mapInArrow(cut, schema))
+
     losers = scratch.keep(
         found.join(confirmed, ["hi", "lo"]).where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id")
         .agg(F.collect_set(F.struct("hi", "lo")).alias("gone")).select(F.col("doc_id").alias("_loser"), "gone")
     )
     scratch.drop(found, confirmed)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def id_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(id_hash, b.column(0).to_pylist()), pa.int64())], names=["h"])
+
+    ids = losers.select("_loser")
+    lose = spark.sparkContext.broadcast(bloom.build(ids.mapInArrow(id_hashes, "h long"), bloom.bits_for(ids.count(), max_filter_bits)))
+
+    def split(want: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                may = bloom.may_hold(lose.value, np.array([id_hash(d) for d in b.column(0).to_pylist()], np.int64))
+                yield b.filter(pa.array((may & np.array(b.column(0).is_valid())) == want))
+
+        return docs.mapInArrow(run, ", ".join(wide))
+
+    def cut_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts, n, dropped = [], [], []
-            gone_col = b.schema.get_field_index("gone")
-            for text, gone in zip(b.column(1).to_pylist(), b.column(gone_col).to_pylist(), strict=True):
-                lines = text.split("\n")
-                out = set() if gone is None else {(g["hi"], g["lo"]) for g in gone}
-                kept = [x for x, k in zip(lines, line_keys(text, least), strict=True) if k is None or digest(k) not in out] if out else lines
-                texts.append("\n".join(kept))
-                n.append(len(lines))
-                dropped.append(len(lines) - len(kept))
-            others = [b.column(i) for i in range(2, len(wide))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *others, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*(w.split(" ")[0] for w in wide), "n_lines", "n_dropped"])
+            lost = []
+            for text, gone in zip(b.column(1).to_pylist(), b.column(b.schema.get_field_index("gone")).to_pylist(), strict=True):
+                out = {(g["hi"], g["lo"]) for g in gone or ()}
+                lost.append({i for i, k in enumerate(line_keys(text, least)) if k is not None and digest(k) in out} if out else set())
+            yield with_texts(b, lost)
 
-    schema = ", ".join([*wide, "n_lines long", "n_dropped long"])
     dirty = split(True)
-    dirty = dirty.join(losers, dirty.doc_id == losers._loser, "left").drop("_loser").mapInArrow(cut, schema)
+    dirty = dirty.join(losers, dirty.doc_id == losers._loser, "left").drop("_loser").mapInArrow(cut_joined, schema)
     clean = (
         split(False)
         .withColumn("n_lines", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long"))
         .withColumn("n_dropped", F.lit(0).cast("long"))
     )
-    out = clean.unionByName(dirty)
-    return out.select("doc_id", "text", "n_lines", "n_dropped", *(F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)))
+    return back(clean.unionByName(dirty))

@@ -1,8 +1,9 @@
 import hashlib
 from collections import defaultdict
 
+import pyarrow as pa
 from readloom.llm import bloom
-from readloom.llm.line_dedup import dedup_lines
+from readloom.llm.line_dedup import Keys, dedup_lines
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -12,19 +13,21 @@ def key(line):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(BLANKS))
 
 
-def brute(rows):
+def brute_texts(rows):
+    """(doc_id, lines, lines kept) of each row."""
     seen = defaultdict(set)
     for doc, text, *_ in rows:
         for line in (text or "").split("\n"):
             if doc is not None and len(key(line)) >= 20:
                 seen[key(line)].add(doc)
     keeper = {k: max(v) for k, v in seen.items() if len(v) >= 3}
-    out = []
     for doc, text, *_ in rows:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if doc is None or keeper.get(key(x), doc) == doc]
-        out.append((doc, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    return sorted(out, key=str)
+        yield doc, lines, [x for x in lines if doc is None or keeper.get(key(x), doc) == doc]
+
+
+def brute(rows):
+    return sorted(((doc, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()) for doc, lines, kept in brute_texts(rows)), key=str)
 
 
 def test_equals_brute_force(docs, rows):
@@ -39,7 +42,18 @@ def test_a_filter_that_is_too_small_changes_nothing(docs, rows):
     assert sorted(map(tuple, have), key=str) == brute(rows)
 
 
+def test_joined_lines_equal_brute_force(docs, rows):
+    have = dedup_lines(docs, carry=["lang"], broadcast_rows=0).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256)).collect()
+    assert sorted(map(tuple, have), key=str) == brute(rows)
+
+
+def test_keys_that_share_a_half_stay_apart():
+    known = Keys(pa.table({"hi": [5, 1, 3, 9], "lo": [7, 7, 7, 8], "keeper": ["five", "one", "three", "nine"]}))
+    assert sorted(known.find([(3, 7), (9, 8), (9, 7), (5, 7), (1, 99)])) == [(0, "three"), (1, "nine"), (3, "five")]
+
+
 def test_empty_table(empty):
+    assert dedup_lines(empty, broadcast_rows=-1).count() == 0
     assert dedup_lines(empty).count() == 0
 
 
