@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from readloom import ship
 from readloom.llm import trees
-from readloom.llm.stats import COUNTS, RATIOS, labelled_sample, with_stats
+from readloom.llm.common import slices
+from readloom.llm.stats import COUNTS, RATIOS, STAT_SCHEMA, described, labelled_sample, stat_columns
 
 ship(__name__)
 
-NAMES = [*COUNTS, *RATIOS]
 FALLING = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "bang_ratio", "bar_ratio", "same_next_ratio", "upper_word_ratio")
 INPUTS = list(RATIOS)
 
@@ -42,19 +42,19 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> tre
 
 
 def apply_rules(df: DataFrame, model: trees.Trees, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3) -> DataFrame:
-    """One row a row: doc_id, the counts, base_failed, tree_score and kept."""
-    stats = with_stats(df, id_col, text_col)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema[: 1 + len(COUNTS)]) + ", tree_score double"
-    kind = stats.schema[0].name
+    """One row a row: doc_id, the counts, base_failed, tree_score and kept. One pass over the texts."""
+    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in INPUTS], 1)
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(1 + len(COUNTS))] + [pa.array(model.score(x))], names=[kind, *COUNTS, "tree_score"])
+        for b in slices(batches):
+            got = described(b.column(1))
+            cols, names = stat_columns(got)
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols[: len(COUNTS)], pa.array(model.score(got[:, len(COUNTS):]))], names=["doc_id", *names[: len(COUNTS)], "tree_score"])
 
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bad = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        stats.mapInArrow(run, schema)
+        rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *STAT_SCHEMA[: len(COUNTS)], "tree_score double"]))
         .withColumn("base_failed", bad)
         .withColumn("kept", ~F.col("base_failed") & (F.col("tree_score") >= cut))
     )

@@ -66,22 +66,47 @@ def describe(text: str | None) -> tuple[float, ...]:
     )
 
 
+def described(texts: pa.Array) -> np.ndarray:
+    """The counts and ratios of each text, one row a text."""
+    return np.array([describe(t) for t in texts.to_pylist()], float).reshape(-1, len(COUNTS) + len(RATIOS))
+
+
+def stat_columns(got: np.ndarray, prefix: str = "") -> tuple[list[pa.Array], list[str]]:
+    names = [*COUNTS, *RATIOS]
+    return [pa.array(got[:, i].astype(np.int64) if c in COUNTS else got[:, i]) for i, c in enumerate(names)], [prefix + c for c in names]
+
+
+STAT_SCHEMA = [f"{c} {'long' if c in COUNTS else 'double'}" for c in (*COUNTS, *RATIOS)]
+
+
 def with_stats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row a row: the id as `doc_id`, the counts as long, the ratios as double.
 
     No shuffle: Python sees batches of (id, text) and hands back numbers only.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    names = [*COUNTS, *RATIOS]
-    schema = f"doc_id {kind}, " + ", ".join(f"{c} {'long' if c in COUNTS else 'double'}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            got = np.array([describe(t) for t in b.column(1).to_pylist()], float).reshape(-1, len(names))
-            cols = [pa.array(got[:, i].astype(np.int64) if c in COUNTS else got[:, i]) for i, c in enumerate(names)]
+            cols, names = stat_columns(described(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", *names])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join([f"doc_id {kind}", *STAT_SCHEMA]))
+
+
+def add_stats(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
+    """All columns of the table, then the statistics with a prefix to their names; each text is sent once."""
+    from pyspark.sql import types as T
+
+    at = df.columns.index(text_col)
+    schema = T.StructType([*df.schema, *(T.StructField(prefix + x.split(" ")[0], T.LongType() if x.endswith("long") else T.DoubleType()) for x in STAT_SCHEMA)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            cols, names = stat_columns(described(b.column(at)), prefix)
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *names])
+
+    return df.mapInArrow(run, schema)
 
 
 def is_held_out(doc_id: Column) -> Column:
