@@ -14,11 +14,9 @@ ship(__name__)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     from readloom.llm.queries import read
-    from readloom.llm.quality_classifier import fit_rules, score_quality
+    from readloom.llm.quality_classifier import accepted, fit_rules
 
-    rules = fit_rules(docs, read(spark, sf_dir, "labels"))
-    packed = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return score_quality(packed, rules, id_col="row").where(F.col("predicted") == 1).select("doc_id.*")
+    return accepted(docs, fit_rules(docs, read(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

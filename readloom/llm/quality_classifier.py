@@ -18,11 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from readloom import ship
 from readloom.llm import trees
-from readloom.llm.stats import COUNTS, RATIOS, is_held_out, labelled_sample, with_stats
+from readloom.llm.stats import COUNTS, RATIOS, add_stats, is_held_out, labelled_sample, with_stats
 
 ship(__name__)
 
@@ -35,13 +34,13 @@ class Rules:
     weights: list[float]
     terms: list[tuple[tuple[int, float, bool], ...]]
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         """The score as a Spark expression over the statistics' columns."""
         margin = F.lit(float(self.bias))
         for w, term in zip(self.weights, self.terms, strict=True):
             cond = None
             for f, t, below in term:
-                one = F.col(INPUTS[f]) <= t if below else F.col(INPUTS[f]) > t
+                one = F.col(prefix + INPUTS[f]) <= t if below else F.col(prefix + INPUTS[f]) > t
                 cond = one if cond is None else cond & one
             margin = margin + F.when(cond, F.lit(float(w))).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-margin))
@@ -82,12 +81,11 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, penalt
 
 
 def score_quality(df: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3) -> DataFrame:
-    """One row a row: doc_id, held_out, score and predicted, then the statistics.
-
-    The id may be a struct of a whole row, which then passes through; held_out is null for it.
-    """
+    """One row a row: doc_id, held_out, score and predicted, then the statistics."""
     out = with_stats(df, id_col, text_col).withColumn("score", rules.column())
-    plain = isinstance(df.schema[id_col].dataType, T.AtomicType)
-    return out.select(
-        "doc_id", (is_held_out(F.col("doc_id")) if plain else F.lit(None).cast("boolean")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *COUNTS, *RATIOS,
-    )
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *COUNTS, *RATIOS)
+
+
+def accepted(df: DataFrame, rules: Rules, text_col: str = "text", cut: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, whose score is at least `cut`."""
+    return add_stats(df, text_col, "_stat_").where(rules.column("_stat_") >= cut).select(*(F.col(f"`{c}`") for c in df.columns))

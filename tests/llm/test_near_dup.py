@@ -15,7 +15,7 @@ def sets(rows):
     return out
 
 
-def brute(rows):
+def brute(rows, num=85):
     s = sets(rows)
     up = {i: i for i in s}
 
@@ -29,7 +29,7 @@ def brute(rows):
         for b in ids:
             if a < b and s[a] and s[b]:
                 both = len(s[a] & s[b])
-                if 100 * both >= 85 * (len(s[a]) + len(s[b]) - both):
+                if 100 * both >= num * (len(s[a]) + len(s[b]) - both):
                     x, y = find(a), find(b)
                     up[max(x, y)] = min(x, y)
     return {i: (len(s[i]), find(i)) for i in ids}

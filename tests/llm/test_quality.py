@@ -36,6 +36,54 @@ def test_rules(docs, rows, labels):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def slow_margin(t, x):
+    """One row and one node at a time."""
+    total = t.base
+    for root in t.roots:
+        at = root
+        while t.feature[at] >= 0:
+            at = t.left[at] if x[t.feature[at]] <= t.threshold[at] else t.right[at]
+        total += t.value[at]
+    return total
+
+
+def test_verdict_equals_brute_force(docs, rows, labels):
+    model = quality_rules.fit_rules(docs, labels)
+    assert len(model.roots) > 0
+    want = Counter()
+    for r in rows:
+        n = brute(r[1])
+        base = n[0] < 50 or 100 * n[4] > 50 * n[0]
+        score = 1 / (1 + np.exp(-slow_margin(model, np.array(stats.describe(r[1])[5:]))))
+        want[r[0], base, not base and score >= 0.3] += 1
+    assert Counter((r.doc_id, r.base_failed, r.kept) for r in quality_rules.apply_rules(docs, model).collect()) == want
+    assert len({k[2] for k in want}) == 2
+
+
+def test_verdict_on_held_out_rows_of_the_driver_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_rules.apply_rules(docs, quality_rules.fit_rules(docs, labels)).join(labels, "doc_id").where(stats.is_held_out(F.col("doc_id")) & ~F.col("base_failed"))
+    right, n = got.agg(F.sum((F.col("kept") == (F.col("quality") == 1)).cast("int")), F.count("*")).first()
+    assert n >= 20 and right >= 0.95 * n
+
+
+def test_marked_texts_never_score_higher(docs, labels):
+    model = quality_rules.fit_rules(docs, labels)
+    x = np.array([stats.describe(r.text)[5:] for r in docs.select("text").collect()])
+    for name in quality_rules.FALLING:
+        up = x.copy()
+        up[:, quality_rules.INPUTS.index(name)] += 0.2
+        assert (model.score(up) <= model.score(x) + 1e-12).all()
+
+
+def test_accepted_rows_keep_all_columns(docs, rows, labels):
+    rules = quality_classifier.fit_rules(docs, labels)
+    out = quality_classifier.accepted(docs, rules)
+    assert out.columns == docs.columns
+    want = Counter(r.doc_id for r in quality_classifier.score_quality(docs, rules).where("predicted = 1").collect())
+    assert Counter(r.doc_id for r in out.collect()) == want and 0 < sum(want.values()) < len(rows)
+
+
 def test_trees_obey_their_constraints():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 3))
