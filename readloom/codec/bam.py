@@ -28,12 +28,16 @@ COLUMNS: dict[str, pa.DataType] = {
     "name": pa.string(), "flags": pa.int32(), "mq": pa.int32(), "num_cigar_ops": pa.int32(), "cigar": pa.list_(pa.int32()), "cigar_from_cg": pa.bool_(),
     "seq_length": pa.int32(), "seq_packed": pa.binary(), "qual": pa.binary(), "next_refid": pa.int32(), "next_pos": pa.int32(),
     "template_length": pa.int32(), "bin_mq_nl": pa.int32(), "tags_raw": pa.binary(),
+    "flag_nc": pa.int64(), "num_cigar_bytes": pa.int32(), "num_seq_bytes": pa.int32(), "seq_start": pa.int32(), "tags_start": pa.int32(), "raw": pa.binary(),
 }
+#: Columns that a read gives only if they are asked for by name.
+ON_REQUEST = ("flag_nc", "num_cigar_bytes", "num_seq_bytes", "seq_start", "tags_start", "raw")
 SQL_SCHEMA = (
     "record_id long, ref_id int, ref_name string, start int, end int, length_on_ref int, name string, flags int, mq int, num_cigar_ops int, "
     "cigar array<int>, cigar_from_cg boolean, seq_length int, seq_packed binary, qual binary, next_refid int, next_pos int, template_length int, "
     "bin_mq_nl int, tags_raw binary"
 )
+FULL_SCHEMA = SQL_SCHEMA + ", flag_nc long, num_cigar_bytes int, num_seq_bytes int, seq_start int, tags_start int, raw binary"
 
 
 @dataclass
@@ -128,7 +132,7 @@ def reference_span(words: np.ndarray) -> int:
 
 def batch(buf: bytes, starts: list[int], ids: np.ndarray, names: list[str], columns: list[str] | None = None) -> pa.RecordBatch:
     """Records of a buffer as a batch with the wanted columns only."""
-    want = columns or list(COLUMNS)
+    want = columns or [c for c in COLUMNS if c not in ON_REQUEST]
     at = np.array(starts, np.int64)
     raw = np.frombuffer(buf, np.uint8)
     fixed = raw[at[:, None] + np.arange(36)] if len(at) else np.zeros((0, 36), np.uint8)
@@ -181,6 +185,13 @@ def batch(buf: bytes, starts: list[int], ids: np.ndarray, names: list[str], colu
         "template_length": lambda: number(num(32, "<i4")),
         "bin_mq_nl": lambda: number(num(12, "<i4")),
         "tags_raw": lambda: cut(tags_at, end_at),
+        "flag_nc": lambda: pa.array(flags << 16 | n_ops),
+        "num_cigar_bytes": lambda: number(4 * n_ops),
+        "num_seq_bytes": lambda: number(qual_at - seq_at),
+        # places are counted from the record's first byte, its size included
+        "seq_start": lambda: number(seq_at - at),
+        "tags_start": lambda: number(tags_at - at),
+        "raw": lambda: cut(at, end_at),
     }
     return pa.RecordBatch.from_arrays([make[c]() for c in want], schema=pa.schema([(c, COLUMNS[c]) for c in want]))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import urllib.error
 import urllib.request
 import zlib
 from collections.abc import Iterator
@@ -70,9 +71,17 @@ def blocks(source: Source, at: int = 0, window: int = 1 << 20, stop: int | None
             return
 
 
+#: Bytes that a stored block adds to its contents: gzip header and trailer, and the header of the stored part.
+STORED = 26 + 5
+
+
 def deflate(data: bytes, level: int = 6) -> bytes:
-    c = zlib.compressobj(level, zlib.DEFLATED, -15)
-    body = c.compress(data) + c.flush()
+    """One block; at level 0 its contents are stored as they are, so its size is known beforehand."""
+    if level:
+        c = zlib.compressobj(level, zlib.DEFLATED, -15)
+        body = c.compress(data) + c.flush()
+    else:
+        body = b"\1" + struct.pack("<HH", len(data), len(data) ^ 0xFFFF) + data
     head = MAGIC + b"\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25)
     return head + body + struct.pack("<II", zlib.crc32(data), len(data))
 
@@ -119,6 +128,18 @@ class Source:
             at += len(got)
         return b"".join(out)
 
+    def state(self) -> str | None:
+        """What changes when the file does, without reading it; None where the store doesn't tell."""
+        if self.path.startswith(("http://", "https://")):
+            with urllib.request.urlopen(urllib.request.Request(self.path, method="HEAD")) as r:
+                told = [r.headers.get(h) for h in ("ETag", "Last-Modified", "Content-Length")]
+            return repr(told) if any(told[:2]) else None
+        from pyarrow import fs
+
+        store, inner = (fs.LocalFileSystem(), self.path.removeprefix("file://").removeprefix("file:")) if "://" not in self.path or self.path.startswith("file:") else fs.FileSystem.from_uri(self.path)
+        info = store.get_file_info(inner)
+        return f"{info.size} {info.mtime_ns}" if info.mtime_ns else None
+
     def exists(self) -> bool:
         try:
             self.read(0, 1)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 from readloom import ship
@@ -46,45 +46,54 @@ def encode_record(r: dict[str, Any]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
-def write_bam(path: str, text: str, references: list[tuple[str, int]], rows: Iterable[dict[str, Any]], block: int = 60_000) -> list[tuple[int, int, int, int, bool]]:
-    """Write a file; (ref_id, start, end, virtual offset, mapped) of each record, for an index."""
-    from readloom.codec.bam import reference_span
-    import numpy as np
+Place = tuple[int, int, int, int, bool]  # ref_id, start, end, virtual offset, mapped
 
+
+def head_bytes(text: str, references: list[tuple[str, int]]) -> bytes:
+    """The file's header and reference table."""
     head = b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(references))
     for name, n in references:
         head += struct.pack("<i", len(name) + 1) + name.encode("latin-1") + b"\0" + struct.pack("<i", n)
-    out, seen, pending, places = bytearray(), [], bytearray(), []
+    return head
+
 
-    def flush() -> None:
-        nonlocal pending
-        while pending:
-            part, pending = bytes(pending[:block]), pending[block:]
-            out.extend(bgzf.deflate(part))
+def bam_blocks(text: str, references: list[tuple[str, int]], rows: Iterable[dict[str, Any]], places: list[Place], block: int = 60_000, level: int = 6) -> Iterator[bytes]:
+    """The file's parts one after another; `places` gets a row for each record, for an index.
+
+    The header fills blocks of its own; records fill blocks of `block` bytes each,
+    the last one less.
+    """
+    import numpy as np
+
+    from readloom.codec.bam import reference_span
 
-    pending += head
-    flush()
+    at, pending = 0, bytearray()
+    head = head_bytes(text, references)
+    for i in range(0, len(head), block):
+        part = bgzf.deflate(head[i:i + block], level)
+        at += len(part)
+        yield part
     for r in rows:
-        raw = encode_record(r)
-        if len(pending) >= block:
-            part, rest = bytes(pending[:block]), pending[block:]
-            out.extend(bgzf.deflate(part))
-            pending = rest
-        offset = (len(out), len(pending))
-        words = np.array(r.get("cigar", []), np.uint32)
-        span = 0 if r.get("flags", 0) & 4 else reference_span(words)
-        places.append((r.get("ref_id", -1), r.get("start", -1), r.get("start", -1) + span, offset, not r.get("flags", 0) & 4))
-        pending += raw
+        mapped = not r.get("flags", 0) & 4
+        start = r.get("start", -1)
+        places.append((r.get("ref_id", -1), start, start + (reference_span(np.array(r.get("cigar", []), np.uint32)) if mapped else 0), at << 16 | len(pending), mapped))
+        pending += encode_record(r)
         while len(pending) >= block:
-            part, pending = bytes(pending[:block]), pending[block:]
-            out.extend(bgzf.deflate(part))
-    flush()
-    out.extend(bgzf.EOF_BLOCK)
+            part = bgzf.deflate(bytes(pending[:block]), level)
+            del pending[:block]
+            at += len(part)
+            yield part
+    if pending:
+        yield bgzf.deflate(bytes(pending), level)
+    yield bgzf.EOF_BLOCK
+
+
+def write_bam(path: str, text: str, references: list[tuple[str, int]], rows: Iterable[dict[str, Any]], block: int = 60_000, level: int = 6) -> list[Place]:
+    """Write a local file; the places of its records."""
+    places: list[Place] = []
     with open(path, "wb") as f:
-        f.write(out)
-    for ref, a, b, (at, inside), mapped in places:
-        seen.append((ref, a, b, at << 16 | inside, mapped))
-    return seen
+        f.writelines(bam_blocks(text, references, rows, places, block, level))
+    return places
 
 
 def _bin(start: int, end: int, shift: int, depth: int) -> int:
@@ -99,12 +108,12 @@ def _bin(start: int, end: int, shift: int, depth: int) -> int:
     return 0
 
 
-def index_bytes(places: list[tuple[int, int, int, int, bool]], n_refs: int, end_offset: int, kind: str = "bai", shift: int = 14, depth: int = 5) -> bytes:
+def index_bytes(places: list[tuple[int, int, int, int, bool]], n_refs: int, end_offset: int, kind: str = "bai", shift: int = 14, depth: int = 5, aux: bytes = b"") -> bytes:
     """A BAI or (compressed) CSI index of sorted records."""
-    out = b"BAI\1" if kind == "bai" else b"CSI\1" + struct.pack("<iii", shift, depth, 0)
+    out = b"BAI\1" if kind == "bai" else b"CSI\1" + struct.pack("<iii", shift, depth, len(aux)) + aux
     out += struct.pack("<i", n_refs)
     limit = ((1 << (depth + 1) * 3) - 1) // 7
-    nexts = [p[3] for p in places[1:]] + [end_offset]
+    nexts = [p[3] for p in places[1:]] + [end_offset] * bool(places)
     for ref in range(n_refs):
         bins: dict[int, list[list[int]]] = {}
         linear: dict[int, int] = {}

@@ -56,6 +56,12 @@ def cigar_string(ops: Column) -> Column:
     return F.array_join(F.transform(ops, one), "")
 
 
+def is_numeric_cigar(ops: Column) -> Column:
+    """Whether a CIGAR is given as operation words (an array of numbers) and not as text."""
+    kind = F.typeof(ops)
+    return kind.startswith("array<") & ~kind.contains("string")
+
+
 def length_on_ref(ops: Column, flags: Column | None = None) -> Column:
     """Bases of the reference that the operations cover: bit k of 0x18D is set for those that count."""
     counts = lambda x: F.call_function("shiftright", F.lit(0x18D), x.bitwiseAND(15).cast("int")).bitwiseAND(1)

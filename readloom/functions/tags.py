@@ -36,6 +36,29 @@ def get_tag(raw: Column, name: str, kind: str = "string") -> Column:
     return one(raw)
 
 
+def get_tags(raw: Column, **kinds: str) -> Column:
+    """Several tags in one walk, as a struct: name to `long`, `double`, `string`, an array of numbers, or `binary` for a text's bytes."""
+
+    @F.pandas_udf(", ".join(f"`{n}` {k}" for n, k in kinds.items()))
+    def all_of(values: pd.Series) -> pd.DataFrame:
+        out = {n: [None] * len(values) for n in kinds}
+        for i, v in enumerate(values):
+            left = dict(kinds)
+            for n, k, a, b in codec.walk(v or b""):
+                if n in left:
+                    kind = left.pop(n)
+                    if kind == "binary":
+                        out[n][i] = v[a:b - (v[b - 1] == 0)] if k in "ZH" else None
+                    else:
+                        x = codec.value(v, k, a, b)
+                        out[n][i] = x if isinstance(x, (str,) if kind == "string" else (list,) if kind.startswith("array") else (int, float)) else None
+                    if not left:
+                        break
+        return pd.DataFrame({n: pd.Series(x, dtype=object) for n, x in out.items()})
+
+    return all_of(raw)
+
+
 def get_tag_raw(raw: Column, name: str) -> Column:
     """Bytes of a text tag."""
 

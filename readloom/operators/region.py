@@ -11,16 +11,21 @@ from readloom.functions.columns import end_position, overlaps
 ship(__name__)
 
 
+def in_range(ref: int | str, start: int, end: int) -> Column:
+    """Whether a record of one reference (id, or name where the table has ref_name) overlaps [start, end)."""
+    if start > end:
+        raise ValueError(f"region {start}-{end}: its start is after its end")
+    here = F.col("ref_name") == ref if isinstance(ref, str) else F.col("ref_id") == ref
+    return here & (F.col("start") < F.lit(end).cast("long")) & overlaps(F.col("start"), F.col("end"), start, end)
+
+
 def records_for_range(reads: DataFrame, ref: int | str, start: int, end: int) -> DataFrame:
-    """Records of one reference (id, or name where the table has ref_name) that overlap [start, end).
+    """Records of one reference that overlap [start, end).
 
     Pure predicate: no order of the table is assumed, and filters stay simple
     comparisons so that sources with an index can plan by them.
     """
-    if start > end:
-        raise ValueError(f"region {start}-{end}: its start is after its end")
-    here = F.col("ref_name") == ref if isinstance(ref, str) else F.col("ref_id") == ref
-    return reads.where(here & (F.col("start") < F.lit(end).cast("long")) & overlaps(F.col("start"), F.col("end"), start, end))
+    return reads.where(in_range(ref, start, end))
 
 
 def bins_of(start: Column, end: Column, shift: int = 14) -> Column:

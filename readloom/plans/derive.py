@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom import ship
-from readloom.codec import writer
-from readloom.shared import shared_dir
+from readloom.codec import bgzf, index, writer
+from readloom.shared import exists, put, qualified, shared_dir
 
 ship(__name__)
 
@@ -66,14 +65,20 @@ def table_state(spark: SparkSession, path: str) -> str:
     return "\n".join(sorted(out))
 
 
+TEXT = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in REFS) + "@CO\tderived: from orders\n"
+BLOCK = 60_000  # bytes of records in a block of the file
+
+
 def bam_file(spark: SparkSession, sf_dir: str) -> str:
-    """A coordinate-sorted file of the order reads with its index, made once for each state of the table."""
+    """A coordinate-sorted file of the order reads with its indexes, made once for each state of the table.
+
+    Its blocks are stored, not compressed, so that every offset follows from the
+    sizes of the records before it, by arithmetic that SQL can do too.
+    """
     key = hashlib.sha1(f"{sf_dir}\n{table_state(spark, f'{sf_dir}/orders.parquet')}".encode()).hexdigest()[:12]
-    folder = os.path.join(shared_dir(spark).removeprefix("file://").removeprefix("file:"), "alignments")
-    path = os.path.join(folder, f"{key}.bam")
-    if os.path.exists(path + ".csi"):
+    path = qualified(spark, f"{shared_dir(spark)}/alignments/{key}.bam")
+    if exists(spark, path + ".csi"):
         return path
-    os.makedirs(folder, exist_ok=True)
     rows = order_reads(spark, sf_dir).orderBy("ref_id", "start", "record_id").toLocalIterator()
 
     def encoded():
@@ -84,14 +89,61 @@ def bam_file(spark: SparkSession, sf_dir: str) -> str:
                 "qual": bytes([r.record_id % 40]) * n, "tags": [("NM", "i", r.record_id % 7), ("RG", "Z", f"g{r.record_id % 3}")],
             }
 
-    text = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in REFS) + "@CO\tderived: from orders\n"
-    part = f"{path}.{os.getpid()}"
-    places = writer.write_bam(part, text, REFS, encoded())
-    end = os.path.getsize(part) - 28 << 16
+    places: list[writer.Place] = []
+    size = put(spark, path, writer.bam_blocks(TEXT, REFS, encoded(), places, BLOCK, 0))
     for kind in ("bai", "csi"):
-        with open(f"{path}.{kind}.part", "wb") as f:
-            f.write(writer.index_bytes(places, len(REFS), end, kind))
-    os.replace(part, path)
-    for kind in ("bai", "csi"):
-        os.replace(f"{path}.{kind}.part", f"{path}.{kind}")
+        put(spark, f"{path}.{kind}", [writer.index_bytes(places, len(REFS), size - len(bgzf.EOF_BLOCK) << 16, kind)])
     return path
+
+
+#: Where `bam_file` puts each record: begin and stop are virtual offsets, bin that of the index.
+HEAD_SIZE = len(writer.head_bytes(TEXT, REFS)) + bgzf.STORED
+_VIRTUAL = f"(({HEAD_SIZE} + (p // {BLOCK}) * {BLOCK + bgzf.STORED}) << 16) | (p % {BLOCK})"
+_BIN = " ".join(f"when a >> {14 + 3 * k} = (b - 1) >> {14 + 3 * k} then {((1 << 3 * (5 - k)) - 1) // 7} + (a >> {14 + 3 * k})" for k in range(5))
+PLACED_SQL = f"""select ref_id, a, b, mapped, n, begin, lead(begin, 1, finish) over (order by n) as stop, cast(case {_BIN} else 0 end as bigint) as bin
+  from (select *, {_VIRTUAL} as begin, ({HEAD_SIZE} + (total // {BLOCK}) * {BLOCK + bgzf.STORED} + case when total % {BLOCK} > 0 then total % {BLOCK} + {bgzf.STORED} else 0 end) << 16 as finish
+    from (select *, cast(sum(size) over (order by n) - size as bigint) as p, cast(sum(size) over () as bigint) as total
+      from (select cast(ref_id as bigint) as ref_id, cast(start as bigint) as a, cast(start + case when (flags & 4) <> 0 then 1 else span end as bigint) as b, (flags & 4) = 0 as mapped,
+        row_number() over (order by ref_id, start, record_id) as n, 4 + 32 + length('r' || record_id) + 1 + 4 + (span + 1) // 2 + span + 13 as size from ({ORDER_SQL}))))"""
+#: The index's chunks: runs of records of one bin that follow each other.
+CHUNK_SQL = f"""select ref_id, bin, min(begin) as begin, max(stop) as stop from (select *, n - row_number() over (partition by ref_id, bin order by n) as island from ({PLACED_SQL})) group by ref_id, bin, island"""
+#: The linear index: the first record that touches each window, or what the window before has.
+LINEAR_SQL = f"""select ref_id, w, coalesce(last_value(first ignore nulls) over (partition by ref_id order by w), 0) as v from
+  (select ref_id, unnest(range(max(last) + 1)) as w from (select ref_id, (b - 1) >> 14 as last from ({PLACED_SQL})) group by ref_id) left join
+  (select ref_id, w, min(begin) as first from (select ref_id, begin, unnest(range(a >> 14, ((b - 1) >> 14) + 1)) as w from ({PLACED_SQL})) group by ref_id, w) using (ref_id, w)"""
+
+
+def plan_sql(regions: list[tuple[int, int, int]], kind: str, forecast: bool = False) -> str:
+    """The reads of regions (ref_id, start, end), by SQL: begin, stop, end_position.
+
+    Chunks of all bins that may hold a region, close ones joined from the first to
+    the last, without overlaps, each ended at the next known block boundary. With
+    `forecast`, those of several regions together, and of a BAI index only the
+    chunks before the block at which data beyond a region begins, but six at least.
+    """
+    def joined(chunks: str, name: str) -> str:
+        return f"""{name}o as materialized (select begin, stop, row_number() over (order by begin, stop) as i from ({chunks})),
+  {name}r as (select i, begin, stop, 1 as g from {name}o where i = 1 union all
+    select o.i, case when near then r.begin else o.begin end, case when near then greatest(r.stop, o.stop) else o.stop end, case when near then g else g + 1 end
+    from (select r.*, o.i as j, (o.begin >> 16) - (r.stop >> 16) < 65000 and (greatest(o.stop, r.stop) >> 16) - (r.begin >> 16) < 5000000 as near from {name}r r join {name}o o on o.i = r.i + 1) r join {name}o o on o.i = r.j),
+  {name}g as (select min(begin) as begin, max(stop) as stop, g from {name}r group by g),
+  {name}d as (select greatest(begin, coalesce(max(stop) over (order by g rows between unbounded preceding and 1 preceding), 0)) as begin, stop, g from {name}g),
+  {name}p as (select begin, stop, g from {name}d where begin < stop)"""
+
+    def tightened(name: str, refs: str) -> str:
+        bounds = f"select begin >> 16 as x from chunks where ref_id in ({refs}) union select begin >> 16 from {name}p" + (f" union select v >> 16 from linear where ref_id in ({refs})" if kind == "bai" else "")
+        return f"select begin, stop, least((stop >> 16) + 65536, coalesce((select min(x) from ({bounds}) where x > stop >> 16), (stop >> 16) + 65536)) as end_position from {name}p"
+
+    parts = [f"chunks as materialized ({CHUNK_SQL})", f"linear as materialized ({LINEAR_SQL})"]
+    picked = []
+    for k, (ref, start, end) in enumerate(regions):
+        bins = " or ".join(f"bin between {lo} and {hi}" for lo, hi in index.bin_ranges(start, end, kind=kind))
+        floor = f"(select v from linear where ref_id = {ref} and w = least({start >> 14}, (select max(w) from linear where ref_id = {ref})))" if kind == "bai" else "0"
+        parts.append(joined(f"select begin, stop from chunks where ref_id = {ref} and ({bins}) and stop > {floor}", f"c{k}"))
+        bound = f"(select v >> 16 from linear where ref_id = {ref} and w = {(end >> 14) + 1})" if kind == "bai" else "cast(null as bigint)"
+        parts.append(f"l{k} as (select begin, stop from (select *, {bound} as x, row_number() over (order by g) as i, count(*) filter (where begin >> 16 < {bound}) over () as before from c{k}p) where x is null or before = 0 or i <= greatest(before, 6))")
+        picked.append(f"select begin, stop from l{k}")
+    refs = ", ".join(str(r) for r, *_ in regions)
+    if forecast:
+        parts.append(joined(" union all ".join(picked), "all_"))
+    return f"with recursive {', '.join(parts)} {tightened('all_' if forecast else 'c0', refs)}"

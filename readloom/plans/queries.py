@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import base64
 import json
-import os
-import tempfile
+import struct
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom import ship
-from readloom.codec import bam
+from readloom.codec import bgzf, writer
 from readloom.functions import columns as C
 from readloom.functions import tags as T
 from readloom.operators import index_stats, mismatch, pairs, reference, region
 from readloom.plans import derive as D
+from readloom.shared import exists, put, shared_dir
 from readloom.sources import bam as source
 
 ship(__name__)
@@ -147,19 +149,49 @@ def d2_reference_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference.needed_span(D.paired_reads(spark, sf_dir), F.col("raw_mq") < 128)
 
 
+BASE = "substring('ACGT', cast(({rid} * 7 + ({k}) * 13 + ({k}) * ({k})) % 4 as int) + 1, 1)"
+GENOME = "substring('ACGT', cast((({p}) * 5 + ({p}) % 11) % 4 as int) + 1, 1)"
 REGIONS = [(0, 0, 250_000), (1, 300_000, 500_000), (2, 0, 1_000_000)]
 
 
-@query(f"""select r.record_id, s.a as region_start, case when s.a is not null then r.start end as reference_start, case when s.a is not null then r.span end as n_bases from ({D.PAIR_SQL}) r left join (values {', '.join(map(str, REGIONS))}) s(ref, a, b) on r.ref_id = s.ref and s.a <= r.start and s.b >= r."end" """)
+def genome(start: int, end: int) -> str:
+    """The bases of GENOME at [start, end)."""
+    p = np.arange(start, end)
+    return np.frombuffer(b"ACGT", np.uint8)[(p * 5 + p % 11) % 4].tobytes().decode()
+
+
+def _genome_sql(start: str, n: str) -> str:
+    return f"array_to_string(list_transform(range({n}), lambda k: {GENOME.format(p=f'({start}) + k')}), '')"
+
+
+@query(f"""select r.record_id, s.a as region_start, case when s.a is not null then r.start end as reference_start, case when s.a is not null then {_genome_sql('r.start', 'r.span')} end as reference_seq
+  from ({D.PAIR_SQL}) r left join (values {', '.join(map(str, REGIONS))}) s(ref, a, b) on r.ref_id = s.ref and s.a <= r.start and s.b >= r."end" """)
 def d5_covering_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame(REGIONS, "ref_id int, start int, stop int").select("ref_id", "start", F.repeat(F.lit("A"), F.col("stop") - F.col("start")).alias("seq"))
-    return reference.bind_reference(D.paired_reads(spark, sf_dir), known).select("record_id", "region_start", "reference_start", F.length("reference_seq").alias("n_bases"))
+    known = spark.createDataFrame([(r, a, genome(a, b)) for r, a, b in REGIONS], "ref_id int, start int, seq string")
+    return reference.bind_reference(D.paired_reads(spark, sf_dir), known).select("record_id", "region_start", "reference_start", "reference_seq")
+
 
+@query(f"""with r as (select record_id as rid, start, span from ({D.PAIR_SQL}) where raw_mq >= 128), j as (select rid, start + k as p, {BASE.format(rid='rid', k='k')} as b, {GENOME.format(p='start + k')} as g
+    from r, (select unnest(range(160)) as k) where k < span)
+  select rid as record_id, 88 as code, cast(p as int) as ref_pos, b as bases, ascii(g) as ref_base_code from j where b <> g""")
+def d2_bound_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the span that records without an MD tag need, over one fetch a reference and the records that it covers, to their substitutions."""
+    reads = D.paired_reads(spark, sf_dir)
+    bases = F.expr(f"array_join(transform(sequence(0, span - 1), k -> {BASE.format(rid='record_id', k='k')}), '')")
+    has_md = F.col("raw_mq") < 128
+    known = reference.fetched(reference.needed_span(reads, has_md), lambda ref, a, b: genome(a, b))
+    bound = reference.bind_reference(reads.where(~has_md), known).withColumns({"seq": bases, "cigar": F.array((F.col("span") * 16).cast("int"))})
+    rows = mismatch.mismatch_rows(mismatch.mismatches(bound, keep=["record_id"], md=None, qual=None, reference="reference_seq", reference_start="reference_start"))
+    return rows.select("record_id", "code", "ref_pos", "bases", "ref_base_code")
 
-@query("""select 'chrA' as ref_name, 3 as start, 'GTACG' as seq union all select 'chrB', 3, 'TT'""")
+
+@query(f"""select 'r' || o_orderkey as ref_name, 7 as start, {_genome_sql('7', 'least(5, o_custkey % 40 - 7)')} as seq from orders where o_custkey % 40 > 7""")
 def d3_reference_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.createDataFrame([("chrA", 1, "ACGTACGT"), ("chrB", 0, "ACGTT")], "ref_name string, start int, seq string")
-    return reference.reference_region(s, "chrA", 3, 8).unionByName(reference.reference_region(s, "chrB", 3, 8))
+    """The same region of many stored sequences, of which some end inside it."""
+    rows = D.table(spark, sf_dir, "orders").where("o_custkey % 40 > 7")
+    whole = genome(0, 40)
+    stored = rows.select(F.concat(F.lit("r"), F.col("o_orderkey")).alias("ref_name"), F.lit(0).alias("start"), F.substring(F.lit(whole), F.lit(1), (F.col("o_custkey") % 40).cast("int")).alias("seq"))
+    return reference.reference_region(stored, None, 7, 12)
 
 
 SHAPE = {"s": "o_orderkey % 9", "m": "20 + o_custkey % 50", "i": "1 + o_orderkey % 4", "d": "1 + o_custkey % 6", "n": "100 + o_orderkey % 900", "e": "10 + o_orderkey % 31", "x": "1 + o_custkey % 3"}
@@ -176,6 +208,12 @@ def f1_cigar_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shaped(spark, sf_dir).select("o_orderkey", C.cigar_string(F.col("cigar")).alias("cigar_string"))
 
 
+@query("select o_orderkey, true as words, false as text from orders")
+def f26_is_numeric_cigar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _shaped(spark, sf_dir).withColumn("written", C.cigar_string(F.col("cigar")))
+    return rows.select("o_orderkey", C.is_numeric_cigar(F.col("cigar")).alias("words"), C.is_numeric_cigar(F.col("written")).alias("text"))
+
+
 @query("select o_orderkey, case when (o_custkey % 4096 & 4) <> 0 then 0 else " + " + ".join(f"({SHAPE[k]})" for k, op, _ in SHAPE_OPS if 0x18D >> op & 1) + " end as length_on_ref from orders")
 def f2_length_on_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shaped(spark, sf_dir).select("o_orderkey", C.length_on_ref(F.col("cigar"), F.col("flags")).alias("length_on_ref"))
@@ -224,6 +262,20 @@ def f14_pair_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.select("record_id", C.pair_orientation(*(F.col(c) for c in ("flags", "ref_id", "next_refid", "start", "next_pos"))).alias("pair_orientation"))
 
 
+LITTLE = "lpad(upper(hex({x} % 256)), 2, '0'), lpad(upper(hex(cast(floor(({x}) / 256) as bigint) % 256)), 2, '0')"
+#: Packed tags XB:B:S (two numbers), XS:B:c (-1 and one more), XF:f and XH:H.
+RAW_ARRAYS = (f"unhex(concat('58424253', '02000000', {LITTLE.format(x='o_orderkey % 60000')}, '0700', '58534263', '02000000', 'FF', lpad(upper(hex(o_custkey % 100)), 2, '0'),"
+              " '5846660000C03F', '584848', hex(lpad(upper(hex(o_orderkey % 256)), 2, '0')), '00'))")
+
+
+@query("""select o_orderkey, (o_orderkey % 60000) || ',7' as numbers, '-1,' || (o_custkey % 100) as small, cast(1.5 as double) as f, lpad(upper(hex(o_orderkey % 256)), 2, '0') as h, 'BS Bc f H' as kinds from orders""")
+def f20_array_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{RAW_ARRAYS} as raw").withColumn("t", T.decode_tags("raw"))
+    t = F.col("t")
+    kinds = F.concat_ws(" ", *(t[n]["type"] for n in ("XB", "XS", "XF", "XH")))
+    return rows.select("o_orderkey", F.array_join(t["XB"]["ai"], ",").alias("numbers"), F.array_join(t["XS"]["ai"], ",").alias("small"), t["XF"]["f"].alias("f"), t["XH"]["s"].alias("h"), kinds.alias("kinds"))
+
+
 TEXT = "coalesce(substring(o_orderpriority, 1, 8), '')"
 #: Packed tags NM:C, XA:A (on even keys), MD:Z and a second NM, which must not count.
 RAW_TAGS = f"unhex(concat('4E4D43', lpad(hex(o_orderkey % 200), 2, '0'), case when o_orderkey % 2 = 0 then '58414151' else '' end, '4D445A', hex({TEXT}), '00', '4E4D4301'))"
@@ -241,7 +293,8 @@ def f15_tags_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select o_orderkey, o_orderkey % 200 as nm, hex({TEXT}) as md_hex from orders")
 def f16_get_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tagged(spark, sf_dir).select("o_orderkey", T.get_tag(F.col("raw"), "NM", "long").alias("nm"), F.hex(T.get_tag_raw(F.col("raw"), "MD")).alias("md_hex"))
+    got = _tagged(spark, sf_dir).select("o_orderkey", T.get_tags(F.col("raw"), NM="long", MD="binary").alias("t"))
+    return got.select("o_orderkey", F.col("t.NM").alias("nm"), F.hex("t.MD").alias("md_hex"))
 
 
 @query(f"select o_orderkey, case when o_orderkey % 2 = 0 then 'Q' else {TEXT} end as tag from orders")
@@ -259,13 +312,16 @@ def f21_pack_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.hex(C.pack_reference(F.col("seq"))).alias("packed"), C.base_letter(C.reference_code(F.col("seq"), F.lit(1))).alias("second"))
 
 
-HEADER = "@HD\\tVN:1.6\\tSO:coordinate\\n\\n@SQ\\tSN:chr:1\\tLN:12\\n@CO\\tfree text here\\n".replace("\\t", "\t").replace("\\n", "\n")
+HEADER_LINES = [("HD", "VN", "1.6"), ("HD", "SO", "coordinate"), *(x for n, size in D.REFS for x in (("SQ", "SN", n), ("SQ", "LN", size))), ("CO", "derived", " from orders")]
+_LINE_OF = {("HD", "VN"): 0, ("HD", "SO"): 0, ("CO", "derived"): 1 + len(D.REFS)}
 
 
-@query("""select * from (values (0, 'HD', 'VN', '1.6'), (0, 'HD', 'SO', 'coordinate'), (1, 'SQ', 'SN', 'chr:1'), (1, 'SQ', 'LN', '12'), (2, 'CO', 'free text here', '')) t(line, tag, field, value)""")
+@query("select * from (values " + ", ".join(f"({_LINE_OF.get((t, k), 1 + (i - 2) // 2)}, '{t}', '{k}', '{v}')" for i, (t, k, v) in enumerate(HEADER_LINES)) + ") t(line, tag, field, value)")
 def a6_header_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, x["tag"], d["tag"], d["value"]) for i, x in enumerate(bam.parse_header_text(HEADER)) for d in x["data"]]
-    return spark.createDataFrame(rows, "line int, tag string, field string, value string")
+    """The fields of the file's header lines."""
+    source.register(spark)
+    lines = spark.read.format("bam_header").load(D.bam_file(spark, sf_dir)).select(F.posexplode("lines").alias("line", "l"))
+    return lines.select("line", F.col("l.tag").alias("tag"), F.explode("l.data").alias("d")).select("line", "tag", F.col("d.tag").alias("field"), F.col("d.value").alias("value"))
 
 
 WINDOWS = [(w, w % 3, (w * 47_777) % 1_000_000, (w * 47_777) % 1_000_000 + 20_000 * (w % 4)) for w in range(40)]
@@ -280,8 +336,6 @@ def ij_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Reads of shape M I M D M with bases by arithmetic, against a reference by arithmetic.
 LENS = {"a": "10 + o_orderkey % 7", "i": "1 + o_orderkey % 3", "b": "12 + o_custkey % 5", "d": "1 + o_custkey % 4", "c": "9 + o_orderkey % 6"}
-BASE = "substring('ACGT', cast(({rid} * 7 + ({k}) * 13 + ({k}) * ({k})) % 4 as int) + 1, 1)"
-GENOME = "substring('ACGT', cast((({p}) * 5 + ({p}) % 11) % 4 as int) + 1, 1)"
 
 
 def _walk_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,6 +376,31 @@ def m1_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk_rows(mismatch.mismatches(_walk_reads(spark, sf_dir), keep=["rid"], md=None, qual=None, reference="ref", reference_start="start", origin=1000))
 
 
+#: Reads of all operations: S M I = D X N M P H.
+ALL = {"s": "1 + o_orderkey % 9", "m": "6 + o_custkey % 11", "i": "1 + o_orderkey % 4", "e": "3 + o_orderkey % 8", "d": "1 + o_custkey % 6", "x": "1 + o_custkey % 3", "n": "5 + o_orderkey % 20"}
+ALL_OPS = [("s", 4), ("m", 0), ("i", 1), ("e", 7), ("d", 2), ("x", 8), ("n", 3), ("m", 0), ("i", 6), ("s", 5)]
+
+
+@query(f"""with r as (select o_orderkey as rid, cast(o_orderkey * 97 % 100000 as int) as start, {', '.join(f'cast({v} as int) as {k}' for k, v in ALL.items())} from orders),
+  o as (select rid, start, s as so, 0 as ro, m as n, false as stated from r union all select rid, start, s + m + i, m, e, false from r
+    union all select rid, start, s + m + i + e, m + e + d, x, true from r union all select rid, start, s + m + i + e + x, m + e + d + x + n, m, false from r),
+  j as (select rid, start + ro + k as pos, {BASE.format(rid='rid', k='so + k')} as b, {GENOME.format(p='start + ro + k')} as g, stated from o, (select unnest(range(60)) as k) where k < n)
+  select rid, 88 as code, pos as ref_pos, 1 as length, b as bases, ascii(g) as ref_base_code, 0 as clip_length from j where stated or b <> g
+  union all select rid, 83, start, 0, '', 0, s from r
+  union all select rid, 73, start + m, 0, array_to_string(list_transform(range(i), lambda k: {BASE.format(rid='rid', k='s + m + k')}), ''), 0, i from r
+  union all select rid, 68, start + m + e, d, '', 0, 0 from r
+  union all select rid, 78, start + m + e + d + x, n, '', 0, 0 from r
+  union all select rid, 72, start + m + e + d + x + n + m, 0, '', 0, s from r""")
+def m1_all_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.table(spark, sf_dir, "orders").selectExpr("o_orderkey as rid", "cast(o_orderkey * 97 % 100000 as int) as start", *(f"cast({v} as int) as {k}" for k, v in ALL.items()))
+    reads = rows.selectExpr(
+        "rid", "start", f"array({', '.join(f'{k} * 16 + {op}' for k, op in ALL_OPS)}) as cigar",
+        f"array_join(transform(sequence(0, s + m + i + e + x + m - 1), k -> {BASE.format(rid='rid', k='k')}), '') as seq",
+        f"array_join(transform(sequence(0, m + e + d + x + n + m - 1), k -> {GENOME.format(p='start + k')}), '') as ref",
+    )
+    return _walk_rows(mismatch.mismatches(reads, keep=["rid"], md=None, qual=None, reference="ref", reference_start="start"))
+
+
 MD_READ = {"x": "o_orderkey % 11", "y": "o_custkey % 13", "z": "5 + o_orderkey % 4"}
 
 
@@ -350,7 +429,7 @@ def _decoded(reads: DataFrame) -> DataFrame:
 @query(IO_SQL)
 def io_bam_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full scan by the partitions that the index allows."""
-    return _decoded(source.read_bam(spark, D.bam_file(spark, sf_dir), splitBytes="200000"))
+    return _decoded(source.read_bam(spark, D.bam_file(spark, sf_dir), splitBytes=str(4 << 20)))
 
 
 @query(IO_SQL)
@@ -382,43 +461,84 @@ def a7_ref_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.ref_table(spark, D.bam_file(spark, sf_dir))
 
 
-@query()
+@query(f"select ref_id, bin, begin >> 16 as min_block, begin & 65535 as min_data, stop >> 16 as max_block, stop & 65535 as max_data, (stop >> 16) + 65536 as end_position from ({D.CHUNK_SQL})")
 def b1_index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     source.register(spark)
     return spark.read.format("bam_index").load(D.bam_file(spark, sf_dir) + ".bai")
 
 
-@query()
+PLANS = [("csi", 1, 100_000, 900_000), ("bai", 1, 100_000, 900_000), ("csi", 0, 0, 1000), ("bai", 2, 500_000, 500_001), ("csi", 0, 990_000, 2_000_000), ("bai", 2, 0, 1 << 40)]
+
+
+@query(" union all ".join(
+    f"select {i} as request, begin >> 16 as min_block, begin & 65535 as min_data, stop >> 16 as max_block, stop & 65535 as max_data, end_position, end_position - (begin >> 16) as fetched,"
+    f" (begin >> 16) || ':' || (begin & 65535) || '-' || (stop >> 16) || ':' || (stop & 65535) as key from ({D.plan_sql([(r, a, b)], kind)})"
+    for i, (kind, r, a, b) in enumerate(PLANS)))
 def b8_chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = source.chunk_plan(D.bam_file(spark, sf_dir), "chrB", 100_000, 900_000)
-    return spark.createDataFrame([(c.begin >> 16, c.begin & 0xFFFF, c.stop >> 16, c.stop & 0xFFFF, c.end_position) for c in plan], "min_block long, min_data int, max_block long, max_data int, end_position long")
+    """The reads that region queries plan, by either index."""
+    path, rows = D.bam_file(spark, sf_dir), []
+    for i, (kind, ref, a, b) in enumerate(PLANS):
+        plan = source.chunk_plan(path, D.REFS[ref][0], a, b, index=f"{path}.{kind}")
+        rows += [(i, c.begin >> 16, c.begin & 0xFFFF, c.stop >> 16, c.stop & 0xFFFF, c.end_position, c.fetched_size(), c.key()) for c in plan]
+    return spark.createDataFrame(rows, "request int, min_block long, min_data int, max_block long, max_data int, end_position long, fetched long, key string")
+
 
+@query(f"select kind, min(begin) >> 16 as block, min(begin) & 65535 as data from ({D.CHUNK_SQL}), (values ('bai'), ('csi')) t(kind) group by kind")
+def a13_first_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source.register(spark)
+    path = D.bam_file(spark, sf_dir)
+    first = [spark.read.format("bam_index").option("part", "first").load(f"{path}.{k}").select(F.lit(k).alias("kind"), "block", "data") for k in ("bai", "csi")]
+    return first[0].unionByName(first[1])
 
-@query()
+
+@query("""select 'VCF' as format, '1-based' as coordinates, 1 as ref_column, 2 as start_column, 0 as end_column, '#' as meta, cast(count(*) as int) as skip_lines, string_agg(n_name, ',' order by n_nationkey) as names from nation""")
+def a10_tabix_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text-table block of an index: its columns and names."""
+    source.register(spark)
+    names = [r.n_name for r in D.table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # as many as an index has references
+    joined = b"".join(n.encode() + b"\0" for n in names)
+    aux = struct.pack("<7i", 2, 1, 2, 0, ord("#"), len(names), len(joined)) + joined
+    path = f"{D.bam_file(spark, sf_dir)}.names.csi"
+    put(spark, path, [writer.index_bytes([], len(names), 0, "csi", aux=aux)])
+    return spark.read.format("bam_index").option("part", "tabix").load(path).withColumn("names", F.array_join("names", ","))
+
+
+@query("select cast(0 as int) as ref_id, cast(0 as bigint) as start, cast(0 as bigint) as \"end\", cast(0 as double) as score where false")
+def e3_csi_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index without the linear part tells no densities."""
+    source.register(spark)
+    return spark.read.format("bam_index").option("part", "density").load(D.bam_file(spark, sf_dir) + ".csi")
+
+
+@query(f"""with l as (select ref_id, w, v >> 16 as block, lead(v >> 16) over (partition by ref_id order by w) as nxt, last_value(v >> 16) over (partition by ref_id order by w rows between unbounded preceding and unbounded following) as total
+    from ({D.LINEAR_SQL})), m as (select ref_id, count(*) filter (where mapped) as mapped from ({D.PLACED_SQL}) group by ref_id)
+  select ref_id, w * 16384 as start, (w + 1) * 16384 as "end", case when total > 0 then cast((nxt - block) * mapped as double) / total else 0 end as score from l join m using (ref_id) where nxt is not null""")
 def e2_bai_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     source.register(spark)
     return spark.read.format("bam_index").option("part", "density").load(D.bam_file(spark, sf_dir) + ".bai")
 
 
-@query()
+FORECASTS = [("csi", [(0, 0, 1000)]), ("csi", [(1, 0, 1 << 29)]), ("bai", [(0, 0, 500_000), (2, 0, 500_000)]), ("bai", [(1, 200_000, 260_000)]), ("csi", [(0, 100_000, 200_000), (1, 5, 6)])]
+
+
+@query(" union all ".join(f"select {i} as request, coalesce(cast(sum(end_position - (begin >> 16)) as bigint), 0) as bytes from ({D.plan_sql(regions, kind, True)})" for i, (kind, regions) in enumerate(FORECASTS)))
 def e4_estimated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts from either index; a name that the file doesn't have counts nothing."""
     path = D.bam_file(spark, sf_dir)
-    asked = [[("chrA", 0, 1000)], [("chrB", 0, 1 << 29)], [("chrA", 0, 500_000), ("chrC", 0, 500_000), ("none", 0, 5)]]
-    return spark.createDataFrame([(i, source.estimated_bytes(path, r)) for i, r in enumerate(asked)], "request int, bytes long")
+    ask = lambda regions: [*((D.REFS[r][0], a, b) for r, a, b in regions), ("none", 0, 5)]
+    return spark.createDataFrame([(i, source.estimated_bytes(path, ask(regions), index=f"{path}.{kind}")) for i, (kind, regions) in enumerate(FORECASTS)], "request int, bytes long")
 
 
 @query(f'select * from ({IO_SQL}) where ref_id = 0 and {HIT.format(a=100000, b=300000)}')
 def io_htsget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets answered by files: the header in one part, the data in two."""
     path = D.bam_file(spark, sf_dir)
-    with open(path, "rb") as f:
-        data = f.read()
+    data = bgzf.Source(path).all()
     cut = int.from_bytes(data[16:18], "little") + 1
-    parts = {}
+    parts = {name: f"{path}.{name}" for name in ("head", "rest")}
     for name, content in (("head", data[:cut]), ("rest", data[cut:])):
-        parts[name] = f"{path}.{name}"
-        with open(parts[name], "wb") as f:
-            f.write(content)
+        if not exists(spark, parts[name]):
+            put(spark, parts[name], [content])
 
     def ticket(*names: str) -> str:
         body = json.dumps({"htsget": {"format": "BAM", "urls": [{"url": parts[n]} for n in names]}})
@@ -436,10 +556,9 @@ def g9_arriving_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     source.register(spark)
     path = D.bam_file(spark, sf_dir)
     folder = path + ".arrivals"
-    os.makedirs(folder, exist_ok=True)
-    if not os.path.exists(os.path.join(folder, "one.bam")):
-        os.symlink(path, os.path.join(folder, "one.bam"))
-    out = tempfile.mkdtemp(dir=os.path.dirname(path))
+    if not exists(spark, f"{folder}/one.bam"):
+        put(spark, f"{folder}/one.bam", [bgzf.Source(path).all()])
+    out = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
     stream = spark.readStream.format("bam").option("columns", "flags,start").load(folder)
     run = stream.writeStream.format("parquet").option("path", out + "/rows").option("checkpointLocation", out + "/state").trigger(processingTime="0 seconds").start()
     try:

@@ -1,8 +1,9 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and files in it by Spark's own file systems."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -14,10 +15,53 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where none is set a temporary one serves a local session, whose executors are
+    the driver; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
     if not _made:
         _made.append("file://" + tempfile.mkdtemp(prefix="readloom-"))
     return _made[0]
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = _at(spark, path)
+    return store.exists(at)
+
+
+def put(spark: SparkSession, path: str, parts: Iterable[bytes], size: int = 1 << 20) -> int:
+    """Write a file under another name and rename it; how many bytes it has."""
+    store, at = _at(spark, path)
+    _, part = _at(spark, f"{path}.part")
+    out, held, n = store.create(part, True), bytearray(), 0
+    for p in parts:
+        held += p
+        n += len(p)
+        if len(held) >= size:
+            out.write(bytearray(held))
+            held.clear()
+    if held:
+        out.write(bytearray(held))
+    out.close()
+    store.delete(at, False)
+    store.rename(part, at)
+    return n
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as readers outside of Spark need it."""
+    store, at = _at(spark, path)
+    full = store.makeQualified(at).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full

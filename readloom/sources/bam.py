@@ -15,6 +15,8 @@ a DataFrame must serve one query only, as in `region_reads`.
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -47,16 +49,30 @@ def renamer(options: dict[str, str]) -> Callable[[str], str] | None:
     return (lambda n: pairs.get(n, n)) if pairs else None
 
 
+def _parsed(path: str, most: int = 5) -> index.Index:
+    """The index at a path, parsed once for each state of the file; the last few are kept in this process."""
+    held = sys.modules.setdefault("_readloom_indexes", types.ModuleType("_readloom_indexes")).__dict__.setdefault("by_state", {})
+    source = bgzf.Source(path)
+    state = source.state()
+    if state is None:
+        return index.parse(source.all())
+    found = held.pop((path, state), None) or index.parse(source.all())
+    held[path, state] = found  # the last one used comes last
+    while len(held) > most:
+        held.pop(next(iter(held)))
+    return found
+
+
 def open_index(options: dict[str, str]) -> index.Index | None:
     """Explicit index path first, then siblings of the file: CSI before BAI."""
     path = options["path"]
     if given := options.get("index"):
-        return index.parse(bgzf.Source(given).all())
+        return _parsed(given)
     if options.get("useindex", "true") == "false":
         return None
     for name in (path + ".csi", path + ".bai", re.sub(r"\.bam$", ".bai", path)):
         if name != path and bgzf.Source(name).exists():
-            return index.parse(bgzf.Source(name).all())
+            return _parsed(name)
     return None
 
 
@@ -79,11 +95,12 @@ class BamSource(DataSource):
     def schema(self) -> str:
         if not (want := self.options.get("columns")):
             return bam.SQL_SCHEMA
-        kinds = dict(x.strip().split(" ", 1) for x in bam.SQL_SCHEMA.split(", "))
+        kinds = dict(x.strip().split(" ", 1) for x in bam.FULL_SCHEMA.split(", "))
         return ", ".join(f"{c} {kinds[c]}" for c in want.split(","))
 
     def reader(self, schema) -> DataSourceReader:
-        return BamReader(dict(self.options), schema.fieldNames())
+        kind = PlanningReader if self.options.get("pushdown") == "true" else BamReader
+        return kind(dict(self.options), schema.fieldNames())
 
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
         return ArrivalReader(dict(self.options), schema.fieldNames())
@@ -101,26 +118,6 @@ class BamReader(DataSourceReader):
         self.names = [n for n, _ in self.header.references]
         self.low, self.high, self.only = 0, 1 << 62, None
 
-    def pushFilters(self, filters: list[Filter]):  # noqa: N802
-        if self.options.get("pushdown", "false") != "true":
-            yield from filters
-            return
-        for f in filters:
-            match f:
-                case EqualTo(("ref_name",), v):
-                    self.only = self.header.ids().get(v, -2)
-                case EqualTo(("ref_id",), v):
-                    self.only = v
-                case LessThan(("start",), v):
-                    self.high = min(self.high, v)
-                case LessThanOrEqual(("start",), v):
-                    self.high = min(self.high, v + 1)
-                case GreaterThan(("end",), v) | GreaterThan(("start",), v):
-                    self.low = max(self.low, v)
-                case GreaterThanOrEqual(("start",), v) | GreaterThanOrEqual(("end",), v):
-                    self.low = max(self.low, v - 1)
-            yield f
-
     def partitions(self) -> list[InputPartition]:
         path, found = self.options["path"], open_index(self.options)
         ids = self.header.ids()
@@ -166,6 +163,27 @@ class BamReader(DataSourceReader):
                 yield out
 
 
+class PlanningReader(BamReader):
+    """A reader that plans by the query's filters and hands all of them back."""
+
+    def pushFilters(self, filters: list[Filter]):  # noqa: N802
+        for f in filters:
+            match f:
+                case EqualTo(("ref_name",), v):
+                    self.only = self.header.ids().get(v, -2)
+                case EqualTo(("ref_id",), v):
+                    self.only = v
+                case LessThan(("start",), v):
+                    self.high = min(self.high, v)
+                case LessThanOrEqual(("start",), v):
+                    self.high = min(self.high, v + 1)
+                case GreaterThan(("end",), v) | GreaterThan(("start",), v):
+                    self.low = max(self.low, v)
+                case GreaterThanOrEqual(("start",), v) | GreaterThanOrEqual(("end",), v):
+                    self.low = max(self.low, v - 1)
+            yield f
+
+
 def overlapping(batch: pa.RecordBatch, regions: list[tuple[int, int, int]]):
     ref, start, end = (batch.column(c).to_numpy() for c in ("ref_id", "start", "end"))
     stop = np.maximum(end, start + 1)  # a record without span counts as one base
@@ -202,13 +220,15 @@ class HeaderReader(DataSourceReader):
 
 
 class IndexSource(DataSource):
-    """Option `part`: chunks (default), linear, stats or density. Option `path`: the index file."""
+    """Option `part`: chunks (default), linear, stats, density, first (the smallest offset of data) or tabix. Option `path`: the index file."""
 
     PARTS = {
         "chunks": "ref_id int, bin int, min_block long, min_data int, max_block long, max_data int, end_position long",
         "linear": "ref_id int, window int, block long, data int",
         "stats": "ref_id int, mapped long",
         "density": "ref_id int, start long, end long, score double",
+        "first": "block long, data int",
+        "tabix": "format string, coordinates string, ref_column int, start_column int, end_column int, meta string, skip_lines int, names array<string>",
     }
 
     @classmethod
@@ -231,6 +251,15 @@ class IndexReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         found, part = index.parse(bgzf.Source(self.options["path"]).all()), self.options.get("part", "chunks")
+        if part == "first":
+            if (v := found.first_data()) is not None:
+                yield index.unpack_offset(v)
+            return
+        if part == "tabix":
+            if t := index.tabix_details(found.aux):
+                c = t["columns"]
+                yield t["format"], t["coordinates"], c["ref"], c["start"], c["end"], t["meta"], t["skip_lines"], t["names"]
+            return
         for r, ref in enumerate(found.refs):
             if part == "chunks":
                 for b in sorted(ref.bins):
@@ -247,16 +276,24 @@ class IndexReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the sources known to a session and let filters reach them."""
+    """Make the sources known to a session."""
     from readloom.sources.htsget import HtsgetSource
 
     for source in (BamSource, HeaderSource, IndexSource, HtsgetSource):
         spark.dataSource.register(source)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read_bam(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, record: Callable[[DataFrame], DataFrame] | None = None, **options: str) -> DataFrame:
+    """The file's records. `record` turns the table into the caller's own kind of records.
+
+    Option pushdown=true sets spark.sql.python.filterPushdown.enabled, without
+    which Spark hands no filters to a source that is written in Python.
+    """
     register(spark)
+    if record is not None:
+        return read_bam(spark, path, **options).transform(record)
+    if options.get("pushdown") == "true":
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("bam").options(**options).load(path)
 
 

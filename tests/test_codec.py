@@ -146,27 +146,69 @@ def v(block, inside=0):
     return block << 16 | inside
 
 
-def test_merging_and_trimming():
-    plan = lambda cs, floor=None: index.disjoint(index.join(cs, floor))
-    out = plan([Chunk(v(3804), v(4977599, 16404)), Chunk(v(4977599, 5843), v(9719917, 27612))])
-    assert [(c.begin, c.stop) for c in out] == [(v(3804), v(4977599, 16404)), (v(4977599, 16404), v(9719917, 27612))]
-    assert len(plan([Chunk(v(0), v(6_000_000, 500)), Chunk(v(10), v(6_000_000, 100))])) == 1
-    assert len(plan([Chunk(v(0), v(100)), Chunk(v(200), v(300))])) == 1
-    assert len(plan([Chunk(v(0), v(100)), Chunk(v(1_000_000), v(1_000_100))])) == 2
-    assert len(plan([Chunk(v(0), v(100)), Chunk(v(64_000), v(6_000_000))])) == 2
-    assert len(plan([Chunk(v(0), v(50)), Chunk(v(100), v(200))], v(75))) == 1
-
-
-def test_ends_are_clamped_to_known_boundaries():
-    a, b = index.tighten([Chunk(v(0), v(1000)), Chunk(v(2000), v(5000))], [])
-    assert (a.end_position, a.fetched_size(), b.end_position) == (2000, 2000, 5000 + 65536)
-    assert index.tighten([Chunk(v(0), v(0)), Chunk(v(65536 * 5), v(65536 * 5))], [])[0].end_position == 65536
-    assert index.tighten([Chunk(v(0), v(100))], [500, 300, 50])[0].end_position == 300
-
-
-def test_forecast_prefix():
-    cs = [Chunk(v(i * 1000), v(i * 1000 + 10)) for i in range(20)]
-    assert len(index.likely(cs, 2500)) == 6 and len(index.likely(cs, 9500)) == 10 and len(index.likely(cs, 0)) == 20 and len(index.likely(cs, None)) == 20
+def test_reads_are_joined_by_gap_and_span():
+    plan = lambda cs, floor=None: [(c.begin, c.stop) for c in index.disjoint(index.join(cs, floor))]
+    near, far = index.GAP - 1, index.GAP
+    a = Chunk(v(700, 9), v(900, 3))
+    assert plan([Chunk(v(900 + near), v(70_000)), a]) == [(a.begin, v(70_000))]
+    assert plan([Chunk(v(900 + far), v(70_000)), a]) == [(a.begin, a.stop), (v(900 + far), v(70_000))]
+    assert plan([a, Chunk(v(800), v(700 + index.SPAN - 1))]) == [(a.begin, v(700 + index.SPAN - 1))]
+    # too long together: the second begins where the first ends
+    assert plan([a, Chunk(v(800), v(700 + index.SPAN))]) == [(a.begin, a.stop), (a.stop, v(700 + index.SPAN))]
+    assert plan([a, Chunk(v(750), v(800))]) == [(a.begin, a.stop)]  # one inside the other
+    assert plan([a, Chunk(v(2000), v(3000))], a.stop) == [(v(2000), v(3000))] and plan([a], a.stop - 1) == [(a.begin, a.stop)]
+    assert plan([Chunk(v(8), v(8))]) == [(v(8), v(8))] and plan([]) == []
+
+
+def test_reads_end_at_known_blocks():
+    first, second = Chunk(v(40), v(300, 7)), Chunk(v(90_000), v(91_000, 5))
+    a, b = index.tighten([first, second], [])
+    assert (a.end_position, b.end_position, b.fetched_size()) == (300 + index.TAIL, 91_000 + index.TAIL, 1000 + index.TAIL)
+    a, b = index.tighten([first, second], [300, 301, 91_400, 99_000])
+    assert (a.end_position, a.fetched_size(), b.end_position) == (301, 261, 91_400)
+    assert index.tighten([Chunk(v(40), v(300), end_position=310)], [600])[0].end_position == 310
+
+
+def test_forecasts_take_what_lies_before_a_bound():
+    cs = [Chunk(v(70 * i + 5), v(70 * i + 60)) for i in range(15)]
+    assert [len(index.likely(cs, bound)) for bound in (6, 70 * 8 + 5, 70 * 8 + 6, 10**9)] == [index.FORECAST_FLOOR, 8, 9, 15]
+    assert index.likely(cs, 5) == index.likely(cs, None) == cs
+
+
+def test_stored_blocks_have_known_sizes(tmp_path):
+    for n in (0, 1, 60_000, 65_000):
+        block = bgzf.deflate(bytes(n), 0)
+        assert len(block) == n + bgzf.STORED and bgzf.inflate_all(block) == bytes(n)
+    rows = some_rows(300)
+    places = writer.write_bam(str(tmp_path / "s.bam"), TEXT, REFS, rows, block=500, level=0)
+    assert [r["name"] for r in read_all(str(tmp_path / "s.bam"))] == [r["name"] for r in rows]
+    at = len(writer.head_bytes(TEXT, REFS)) + bgzf.STORED
+    sizes = [len(writer.encode_record(r)) for r in rows]
+    before = [sum(sizes[:i]) for i in range(len(rows))]
+    assert [p[3] for p in places] == [(at + p // 500 * (500 + bgzf.STORED)) << 16 | p % 500 for p in before]
+
+
+def test_fields_on_request(made):
+    path, _ = made
+    s = bgzf.Source(path)
+    h = bam.read_header(s)
+    names = ["flag_nc", "num_cigar_bytes", "num_seq_bytes", "seq_start", "tags_start", "raw", "flags", "num_cigar_ops", "seq_packed", "tags_raw", "cigar"]
+    buf, starts, ids = next(bam.records(s, h.first_record, None))
+    for r in bam.batch(buf, starts, ids, [], names).to_pylist():
+        assert r["flag_nc"] == r["flags"] << 16 | r["num_cigar_ops"] and r["num_cigar_bytes"] == 4 * len(r["cigar"])
+        assert len(r["seq_packed"]) == r["num_seq_bytes"] and r["raw"][r["seq_start"]:][:r["num_seq_bytes"]] == r["seq_packed"]
+        assert r["raw"][r["tags_start"]:] == r["tags_raw"] and int.from_bytes(r["raw"][:4], "little") == len(r["raw"]) - 4
+    assert not set(bam.ON_REQUEST) & set(bam.batch(buf, starts, ids, []).schema.names)
+
+
+def test_first_data_and_ceiling(made):
+    path, rows = made
+    bai = index.parse(bgzf.Source(path + ".bai").all())
+    assert bai.first_data() == bam.read_header(bgzf.Source(path)).first_record
+    assert index.Index("bai", [index.RefIndex({1: [Chunk(0, 5)]}, [0])]).first_data() is None
+    assert bai.ceiling(0, 0) == bai.refs[0].linear[1] >> 16 and bai.ceiling(0, 1 << 29) is None
+    assert index.parse(bgzf.Source(path + ".csi").all()).ceiling(0, 0) is None
+    assert index.unpack_offset(v(77, 12)) == (77, 12) and Chunk(v(7, 1), v(8, 2)).key() == "7:1-8:2"
 
 
 def test_bins():

@@ -1,14 +1,19 @@
 """Plans and pushdown of the sources, pairs, htsget replies."""
 
 import base64
+import http.server
 import json
+import random
 import shutil
 import sys
+import threading
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from readloom import shared
 from readloom.codec import bgzf
 from readloom.operators import pairs, reference, region
 from readloom.plans.derive import bam_file
@@ -56,6 +61,42 @@ def test_pairs_across_references(spark):
     assert got(across=True) == hits | {(2, True), (6, True)}
 
 
+def test_pairs_by_broadcast_and_by_shuffle_agree(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        places = [(rng.randrange(3), rng.randrange(3000)) for _ in range(2)]
+        for k, (ref, start) in enumerate(places):
+            other = places[1 - k]
+            rows.append((2 * i + k, f"n{i // 2 if i % 7 == 0 else i}", ref, start, start + rng.randint(0, 90), other[0] if rng.random() < 0.95 else None, other[1]))
+    reads = spark.createDataFrame(rows, "record_id long, name string, ref_id int, start int, end int, next_refid int, next_pos int")
+    for across in (False, True):
+        hits = [r for r in rows if r[2] == 1 and r[3] < 1500 and max(r[4], r[3] + 1) > 900]
+        names = [r[1] for r in hits]
+        asked = {(r[1], r[5], r[6]) for r in hits if names.count(r[1]) == 1 and (across or (r[5] == 1 and abs(r[3] - r[6]) < 700))}
+        mates = {r[0] for r in rows for n, ref, pos in asked if r[1] == n and r[2] == ref and r[3] <= pos < max(r[4], r[3] + 1)} - {r[0] for r in hits}
+        want = {(r[0], False) for r in hits} | {(m, True) for m in mates}
+        assert mates
+        for how in ({}, {"broadcast_rows": 0}, {"most_ranges": 0}):
+            got = pairs.view_as_pairs(reads, 1, 900, 1500, across=across, max_insert=700, **how).collect()
+            assert {(r.record_id, r.is_mate) for r in got} == want and len(got) == len(want)
+
+
+def test_reference_binding_over_many_tiles(spark):
+    rng = random.Random(3)
+    seqs = [(r, a, "".join(rng.choice("ACGT") for _ in range(n))) for r, a, n in ((0, 3, 200), (0, 90, 300), (0, 90, 250), (1, 0, 64), (2, 5, 0))]
+    rows = [(i, rng.randrange(3), a, a + rng.choice([0, 1, 7, 16, 17, 40, 150])) for i in range(300) for a in [rng.randrange(350)]]
+    rows += [rows[0], (None, 0, 100, 180), (900, None, 1, 2), (901, 0, None, 5)]
+    reads = spark.createDataFrame(rows, "id long, ref_id int, start int, end int")
+    got = reference.bind_reference(reads, spark.createDataFrame(seqs, "ref_id int, start int, seq string"), shift=4)
+    want = Counter()
+    for i, ref, a, b in rows:
+        found = [(s, q[a - s:b - s]) for r, s, q in seqs if q and a is not None and r == ref and s <= a and s + len(q) >= b]
+        for s, q in found or [(None, None)]:
+            want[i, s, None if s is None else a, q] += 1
+    assert Counter((r.id, r.region_start, r.reference_start, r.reference_seq) for r in got.collect()) == want
+
+
 def test_reference_binding(spark):
     reads = spark.createDataFrame([(1, 0, 5, 9), (2, 0, 5, 40), (3, 0, 18_000, 18_004), (4, 1, 5, 9), (5, 0, 100, 20_000)], "id long, ref_id int, start int, end int")
     seq = spark.createDataFrame([(0, 2, "ACGTACGTAC" * 3000)], "ref_id int, start int, seq string")
@@ -89,6 +130,122 @@ def test_htsget(spark, made):  # noqa: F811
         read(ticket(data[: len(data) // 2]), "chr1:1000-50000").count()
 
 
+class Server(http.server.BaseHTTPRequestHandler):
+    """Tickets and their parts over HTTP; what was asked is noted."""
+
+    asked: list = []
+    data, cut = b"", 0
+
+    def do_GET(self):  # noqa: N802
+        base = f"http://127.0.0.1:{self.server.server_port}"
+        type(self).asked.append((self.path, dict(self.headers)))
+        if self.path.startswith("/part/"):
+            body = self.data[:self.cut] if self.path.endswith("0") else self.data[self.cut:]
+        elif "nobody" in self.path:
+            self.send_response(404)
+            self.end_headers()
+            self.wfile.write(json.dumps({"htsget": {"error": "NotFound", "message": "x" * 600}}).encode())
+            return
+        else:
+            urls = [{"url": f"{base}/part/{k}", "headers": {"Part-Key": str(k), "Referer": "https://no.example"}} for k in (0, 1)]
+            body = json.dumps({"htsget": {"format": "BAM", "urls": urls}}).encode()
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_htsget_over_http(spark, made):  # noqa: F811
+    path, rows = made
+    Server.data = bgzf.Source(path).all()
+    blocks = [at for at, _ in bgzf.blocks(bgzf.Source(path))]
+    Server.cut = blocks[len(blocks) // 3]
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        source.register(spark)
+        base = f"http://127.0.0.1:{server.server_port}"
+        read = lambda name, **o: spark.read.format("htsget").options(url=base, id=name, headers=json.dumps({"Authorization": "Bearer t", "referer": "no"}), **o).load()
+        assert read("reads").count() == len(rows)  # without a region: everything
+        want = sum(r.get("ref_id") == 2 and r["start"] < 90_000 and max(r["start"] + span(r), r["start"] + 1) > 500 for r in rows)
+        assert read("reads", region="chr2:500-90000").count() == want
+        asked = Server.asked
+        assert any("referenceName=chr2&start=500&end=90000&format=BAM" in p for p, _ in asked)
+        assert all(h.get("Authorization") == "Bearer t" and not any(k.lower() == "referer" for k in h) for _, h in asked)
+        assert {h.get("Part-Key") for p, h in asked if p.startswith("/part/")} == {"0", "1"}
+        n = len(asked)
+        with pytest.raises(Exception, match="NotFound: " + "x" * 600):
+            read("nobody").count()
+        assert len(asked) == n + 1
+    finally:
+        server.shutdown()
+
+
+def test_indexes_are_parsed_once_for_each_state(made, tmp_path, monkeypatch):  # noqa: F811
+    path, _ = made
+    shutil.copy(path + ".bai", tmp_path / "one.bai")
+    parsed = []
+    monkeypatch.setattr(source.index, "parse", lambda data, real=source.index.parse: parsed.append(1) or real(data))
+    ask = {"path": path, "index": str(tmp_path / "one.bai")}
+    first = source.open_index(ask)
+    assert source.open_index(ask) is first and len(parsed) == 1
+    shutil.copy(path + ".csi", tmp_path / "one.bai")
+    assert source.open_index(ask).kind == "csi" and len(parsed) == 2
+    for k in range(6):
+        shutil.copy(path + ".bai", tmp_path / f"{k}.bai")
+        source.open_index({"path": path, "index": str(tmp_path / f"{k}.bai")})
+    assert len(sys.modules["_readloom_indexes"].by_state) == 5
+
+
+def test_records_of_the_callers_own_kind(spark, made):  # noqa: F811
+    path, rows = made
+    own = source.read_bam(spark, path, record=lambda df: df.select("name", (F.col("end") - F.col("start")).alias("width")))
+    assert own.columns == ["name", "width"] and own.count() == len(rows)
+    some = source.read_bam(spark, path, columns="raw,tags_start,flag_nc")
+    assert some.where(F.length("raw") >= F.col("tags_start")).count() == len(rows)
+
+
+def test_arriving_files_are_read_once(spark, made, tmp_path):  # noqa: F811
+    path, rows = made
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    source.register(spark)
+
+    def drain():
+        run = spark.readStream.format("bam").option("columns", "ref_name,flags").option("rename", "chr1=one").load(str(folder)).writeStream.format("parquet")
+        run = run.option("path", str(out / "rows")).option("checkpointLocation", str(out / "state")).trigger(processingTime="0 seconds").start()
+        try:
+            run.processAllAvailable()
+        finally:
+            run.stop()
+        return spark.read.parquet(str(out / "rows"))
+
+    for k in range(3):
+        shutil.copyfile(path, folder / f"{k}.bam")
+        assert drain().count() == (k + 1) * len(rows)
+    assert drain().where("ref_name = 'one'").count() == 3 * sum(r.get("ref_id") == 0 for r in rows)
+
+
+def test_null_paths_raise(spark):
+    source.register(spark)
+    with pytest.raises(Exception, match="no source"):
+        spark.read.format("bam").load().count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session)
+
+
 def test_htsget_errors():
     assert htsget.error_text(b'{"htsget": {"error": "NotFound", "message": "no such id"}}') == "NotFound: no such id"
     assert htsget.error_text(b"plain") == "plain"
