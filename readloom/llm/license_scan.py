@@ -213,7 +213,12 @@ def train(plain: list[str], *, copies: int = 12, penalty: float = 4e-4, steps: i
         for f in g:
             count[f] = count.get(f, 0) + 1
     from_templates = {g for ts in TEMPLATES.values() for t in ts for g in grams(words_of(t))} | {g for t in OTHERS for g in grams(words_of(t))}
-    names = sorted(f for f, n in count.items() if n >= 3 and f in from_templates)
+    usual: dict[bytes, int] = {}
+    for p in plain:
+        for f in grams(words_of(p)):
+            usual[f] = usual.get(f, 0) + 1
+    telling = lambda f: any(usual.get(v, 0) <= len(plain) // 100 for v in f.split(b" "))  # noqa: E731 - words that plain prose often holds don't tell
+    names = sorted(f for f, n in count.items() if n >= 3 and f in from_templates and telling(f))
     at = {f: i for i, f in enumerate(names)}
     m = np.zeros((len(x), len(names)), np.float32)
     for i, g in enumerate(texts):
@@ -251,11 +256,7 @@ def train(plain: list[str], *, copies: int = 12, penalty: float = 4e-4, steps: i
     temperature = min(np.geomspace(0.2, 5, 40), key=loss) if apart.any() else 1.0
     features = {f: w[i].astype(float) for f, i in at.items() if np.abs(w[i]).max() > 0}
     templates = [(family, words_of(t), pairs(words_of(t))) for family, ts in TEMPLATES.items() for t in ts]
-    common: dict[bytes, int] = {}
-    for p in plain:
-        for v in words_of(p):
-            common[v] = common.get(v, 0) + 1
-    keys = frozenset(min(f.split(b" "), key=lambda v: (common.get(v, 0), v)) for f in features)
+    keys = frozenset(min(f.split(b" "), key=lambda v: (usual.get(v, 0), v)) for f in features)
     joints = frozenset(run for _, v, _ in templates for run in zip(v, v[1:], v[2:]))
     z = s / temperature
     e = np.exp(z - z.max(1, keepdims=True))
@@ -313,12 +314,13 @@ def scan_licenses(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def plain_sample(docs: DataFrame, text_col: str = "text", *, max_rows: int = 300, max_chars: int = 2000) -> list[str]:
-    """At most `max_rows` first lines of texts that don't speak of licences, each of at most `max_chars`, in the order of a hash.
+    """At most `max_rows` lines that don't speak of licences, each of at most `max_chars`, one of a text, by hashes.
 
     A threshold on the hash leaves about twenty times `max_rows` lines to sort, whatever the table's size.
     """
-    line = F.split(F.col(text_col).cast("string"), "\n")[0]
+    lines = F.split(F.col(text_col).cast("string"), "\n")
+    line = F.get(lines, F.pmod(F.xxhash64(F.col(text_col)), F.size(lines)).cast("int"))
     keep = max(1, docs.count() // (20 * max_rows))
     rows = docs.select(line.alias("line")).where(F.pmod(F.xxhash64("line"), F.lit(keep)) == 0)
-    rows = rows.where((F.length("line") <= max_chars) & ~F.col("line").rlike("(?i)licen|copyright|spdx|warrant|permission|rights reserved")).distinct()
+    rows = rows.where((F.length("line") <= max_chars) & ~F.col("line").rlike(r"(?i)licen|copyright|spdx|warrant|permission|rights reserved|^\s*$")).distinct()
     return [r.line for r in rows.orderBy(F.xxhash64("line", F.lit(1)), "line").limit(max_rows).collect()]
