@@ -125,11 +125,73 @@ def record_starts(buf: bytes, at: int) -> tuple[list[int], int]:
     return out, at
 
 
+def _plausible(raw: np.ndarray, n_refs: int, at: np.ndarray) -> np.ndarray:
+    """Which places of a buffer may begin a record, by what a record's fixed fields and name must hold."""
+    at = at[at + 36 <= len(raw)]
+    if not len(at):
+        return at
+    num = lambda o, kind: raw[(at + o)[:, None] + np.arange(np.dtype(kind).itemsize)].view(kind)[:, 0].astype(np.int64)
+    size, l_name, n_ops, l_seq = num(0, "<i4"), num(12, "u1"), num(16, "<u2"), num(20, "<i4")
+    ok = (size >= 33) & (l_name > 0) & (l_seq >= 0) & (32 + l_name + 4 * n_ops + (l_seq + 1) // 2 + l_seq <= size)
+    for ref, pos in ((4, 8), (24, 28)):
+        ok &= (num(ref, "<i4") >= -1) & (num(ref, "<i4") < max(1, n_refs)) & (num(pos, "<i4") >= -1)
+    end = at + 35 + l_name
+    ok &= (end < len(raw)) & (raw[np.minimum(end, len(raw) - 1)] == 0)
+    at, end = at[ok], end[ok]
+    owner, k = spread(at + 36, end)
+    odd = (raw[k] < 33) | (raw[k] > 126)
+    return at[np.bincount(owner[odd], minlength=len(at)) == 0]
+
+
+def record_from(source: bgzf.Source, at: int, n_refs: int, least: int = 1 << 17) -> int | None:
+    """Virtual offset of the first record that begins in a block at or after a byte; None if none does.
+
+    A place begins a record if that looks like one and all that follow it do, for
+    `least` bytes or up to the file's end. The answer depends on the file and the
+    byte alone, so neighbours that ask for the same byte agree.
+    """
+    first = bgzf.block_from(source, at)
+    if first is None:
+        return None
+    data, marks, skip = b"", [], 0
+    blocks = bgzf.blocks(source, first)
+    whole = False
+    while True:
+        while not whole and len(data) < skip + bgzf.MAX_BLOCK + least:
+            block = next(blocks, None)
+            if block is None:
+                whole = True
+            else:
+                marks.append((len(data), block[0]))
+                data += block[1]
+        raw = np.frombuffer(data, np.uint8)
+        stop = len(raw) if whole else skip + bgzf.MAX_BLOCK
+        for u in _plausible(raw, n_refs, np.arange(skip, stop)).tolist():
+            p = u
+            while p + 36 <= len(raw) and len(_plausible(raw, n_refs, np.array([p]))):
+                p += 4 + int.from_bytes(data[p:p + 4], "little")
+                if p >= len(raw):
+                    break
+            # the last one may be cut by the end of what was read, but not by the file's
+            if p == len(raw) if whole else p >= min(len(raw) - 36 - 255, u + least):
+                k = max(i for i, (m, _) in enumerate(marks) if m <= u)
+                return marks[k][1] << 16 | (u - marks[k][0])
+        if whole:
+            return None
+        skip = stop
+
+
 def reference_span(words: np.ndarray) -> int:
     words = words.view(np.uint32) if words.dtype != np.uint32 else words
     return int(((words >> 4) * ((CONSUMES_REFERENCE >> (words & 15)) & 1)).sum())
 
 
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [low, high), each with the index of its range."""
+    n = high - low
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
+
+
 def batch(buf: bytes, starts: list[int], ids: np.ndarray, names: list[str], columns: list[str] | None = None) -> pa.RecordBatch:
     """Records of a buffer as a batch with the wanted columns only."""
     want = columns or [c for c in COLUMNS if c not in ON_REQUEST]
@@ -146,40 +208,60 @@ def batch(buf: bytes, starts: list[int], ids: np.ndarray, names: list[str], colu
     tags_at = qual_at + l_seq
     end_at = at + 4 + size
 
-    words = [np.frombuffer(buf, "<u4", int(n), int(o)) for n, o in zip(n_ops, ops_at, strict=True)]
+    owner, k = spread(np.zeros(len(at), np.int64), n_ops)
+    words = raw[(ops_at[owner] + 4 * k)[:, None] + np.arange(4)].view("<u4")[:, 0] if len(k) else np.zeros(0, np.uint32)
+    begin = np.cumsum(n_ops) - n_ops
     # a long CIGAR is stored as <read length>S<span>N, with the real one in the CG tag
-    placed = [len(w) == 2 and (w[0] & 15) == 4 and (w[0] >> 4) == s for w, s in zip(words, l_seq.tolist(), strict=True)]
-    counts = np.array([len(w) for w in words])
-    flat = np.concatenate(words) if words else np.zeros(0, np.uint32)
-    spans = (flat >> 4).astype(np.int64) * ((CONSUMES_REFERENCE >> (flat & 15).astype(np.int64)) & 1)
+    placed = n_ops == 2
+    first = words[begin[placed]]
+    placed[placed] = ((first & 15) == 4) & (first >> 4 == l_seq[placed])
+    spans = (words >> 4).astype(np.int64) * ((CONSUMES_REFERENCE >> (words & 15).astype(np.int64)) & 1)
     total = np.concatenate([[0], np.cumsum(spans)])
-    stop = np.cumsum(counts)
-    span = total[stop] - total[stop - counts] if len(counts) else np.zeros(0, np.int64)
-    resolved = list(words)
-    for i in np.flatnonzero(placed):
-        span[i] = words[i][1] >> 4
-        got = tags.find(buf[tags_at[i]:end_at[i]], "CG")
-        resolved[i] = np.array(got[1] if got and isinstance(got[1], list) else [], np.int64).astype(np.uint32)
+    span = total[begin + n_ops] - total[begin]
+    counts = n_ops
+    if placed.any():
+        parts = np.split(words, begin[1:])
+        for i in np.flatnonzero(placed):
+            span[i] = parts[i][1] >> 4
+            got = tags.find(buf[tags_at[i]:end_at[i]], "CG")
+            parts[i] = np.array(got[1] if got and isinstance(got[1], list) else [], np.int64).astype(np.uint32)
+        words, counts = np.concatenate(parts), np.array([len(w) for w in parts])
     span = np.where(flags & 4, 0, span)
 
-    cut = lambda a, b: pa.array([buf[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
+    ends = lambda n: np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+
+    def cut(low: np.ndarray, high: np.ndarray, kind: pa.DataType = pa.binary(), valid: np.ndarray | None = None) -> pa.Array:
+        """The buffer's bytes [low, high) of each record."""
+        _, places = spread(low, high)
+        mask = None if valid is None else pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+        return pa.Array.from_buffers(kind, len(low), [mask, pa.py_buffer(ends(high - low)), pa.py_buffer(raw[places].tobytes())])
+
+    def name_texts() -> pa.Array:
+        found = cut(name_at, name_at + l_name - 1)
+        plain = np.frombuffer(found.buffers()[2], np.uint8)
+        return found.cast(pa.string()) if not len(plain) or plain.max() < 128 else pa.array([x.decode("latin-1") for x in found.to_pylist()], pa.string())
+
+    def ref_names() -> pa.Array:
+        known = (ref_id >= 0) & (ref_id < len(names))
+        return pa.array(names, pa.string()).take(pa.array(ref_id, mask=~known))
+
     number = lambda x: pa.array(x.astype(np.int32))
     make: dict[str, Callable[[], pa.Array]] = {
         "record_id": lambda: pa.array(ids.astype(np.int64)),
         "ref_id": lambda: number(ref_id),
-        "ref_name": lambda: pa.array([names[r] if 0 <= r < len(names) else None for r in ref_id.tolist()], pa.string()),
+        "ref_name": ref_names,
         "start": lambda: number(start),
         "end": lambda: number(start + span),
         "length_on_ref": lambda: number(span),
-        "name": lambda: pa.array([buf[i:i + n - 1].decode("latin-1") for i, n in zip(name_at.tolist(), l_name.tolist(), strict=True)], pa.string()),
+        "name": name_texts,
         "flags": lambda: number(flags),
         "mq": lambda: pa.array(mapq.astype(np.int32), mask=mapq == 255),
         "num_cigar_ops": lambda: number(n_ops),
-        "cigar": lambda: pa.array([w.astype(np.uint32).view(np.int32) for w in resolved], pa.list_(pa.int32())),
-        "cigar_from_cg": lambda: pa.array(placed, pa.bool_()),
+        "cigar": lambda: pa.ListArray.from_arrays(pa.array(ends(counts)), pa.array(words.astype(np.uint32).view(np.int32))),
+        "cigar_from_cg": lambda: pa.array(placed),
         "seq_length": lambda: number(l_seq),
         "seq_packed": lambda: cut(seq_at, qual_at),
-        "qual": lambda: pa.array([buf[i:i + n] if n else None for i, n in zip(qual_at.tolist(), l_seq.tolist(), strict=True)], pa.binary()),
+        "qual": lambda: cut(qual_at, tags_at, valid=l_seq > 0),
         "next_refid": lambda: number(num(24, "<i4")),
         "next_pos": lambda: number(num(28, "<i4")),
         "template_length": lambda: number(num(32, "<i4")),

@@ -75,6 +75,36 @@ def blocks(source: Source, at: int = 0, window: int = 1 << 20, stop: int | None
 STORED = 26 + 5
 
 
+def block_from(source: Source, at: int, chain: int = 3) -> int | None:
+    """Where the first block at or after a byte begins; None if none does.
+
+    A block is known by its magic bytes, and by as many blocks that follow one
+    another from there (or the file's end), since contents may hold those bytes too.
+    """
+    window = (chain + 2) * MAX_BLOCK
+    while buf := source.read(at, window):
+        last = len(buf) < window
+        p = buf.find(MAGIC)
+        while 0 <= p < (len(buf) if last else MAX_BLOCK):
+            q, n = p, 0
+            while n < chain:
+                try:
+                    size = block_size(buf, q)
+                    if size is None or q + size > len(buf):
+                        break
+                    inflate(buf, q, size)
+                except (ValueError, zlib.error):
+                    break
+                q, n = q + size, n + 1
+            if n == chain or (n and last and q == len(buf)):
+                return at + p
+            p = buf.find(MAGIC, p + 1)
+        if last:
+            return None
+        at += MAX_BLOCK
+    return None
+
+
 def deflate(data: bytes, level: int = 6) -> bytes:
     """One block; at level 0 its contents are stored as they are, so its size is known beforehand."""
     if level:
@@ -128,18 +158,32 @@ class Source:
             at += len(got)
         return b"".join(out)
 
+    def _info(self):
+        from pyarrow import fs
+
+        local = "://" not in self.path or self.path.startswith("file:")
+        store, inner = (fs.LocalFileSystem(), self.path.removeprefix("file://").removeprefix("file:")) if local else fs.FileSystem.from_uri(self.path)
+        return store.get_file_info(inner)
+
+    def _told(self, *names: str) -> list[str | None]:
+        with urllib.request.urlopen(urllib.request.Request(self.path, method="HEAD")) as r:
+            return [r.headers.get(n) for n in names]
+
     def state(self) -> str | None:
         """What changes when the file does, without reading it; None where the store doesn't tell."""
         if self.path.startswith(("http://", "https://")):
-            with urllib.request.urlopen(urllib.request.Request(self.path, method="HEAD")) as r:
-                told = [r.headers.get(h) for h in ("ETag", "Last-Modified", "Content-Length")]
+            told = self._told("ETag", "Last-Modified", "Content-Length")
             return repr(told) if any(told[:2]) else None
-        from pyarrow import fs
-
-        store, inner = (fs.LocalFileSystem(), self.path.removeprefix("file://").removeprefix("file:")) if "://" not in self.path or self.path.startswith("file:") else fs.FileSystem.from_uri(self.path)
-        info = store.get_file_info(inner)
+        info = self._info()
         return f"{info.size} {info.mtime_ns}" if info.mtime_ns else None
 
+    def size(self) -> int | None:
+        """The file's size in bytes; None where the store doesn't tell."""
+        if self.path.startswith(("http://", "https://")):
+            (told,) = self._told("Content-Length")
+            return int(told) if told else None
+        return self._info().size
+
     def exists(self) -> bool:
         try:
             self.read(0, 1)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom import ship
+from readloom.codec.bam import spread
 from readloom.functions.columns import length_on_ref
 
 ship(__name__)
@@ -168,13 +169,6 @@ def _before(n: np.ndarray, first: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return c[:-1] - c[first][owner]
 
 
-def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges [low, high), each with the index of its range."""
-    n = high - low
-    of = np.repeat(np.arange(len(n)), n)
-    return of, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
-
-
 def _md_tokens(at: np.ndarray, text: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, ...]:
     """Letters and deletions of the MD tags of the records in `use`.
 
@@ -182,7 +176,7 @@ def _md_tokens(at: np.ndarray, text: np.ndarray, use: np.ndarray) -> tuple[np.nd
     bases that each record's tag tells of, and which records hold anything else.
     """
     n = len(use)
-    owner, i = _spread(at[:-1], np.where(use, at[1:], at[:-1]))
+    owner, i = spread(at[:-1], np.where(use, at[1:], at[:-1]))
     b = text[i]
     same = np.concatenate([[False], owner[1:] == owner[:-1]])
     ahead = np.concatenate([same[1:], [False]])
@@ -291,7 +285,7 @@ def batch_differences(walk: list[pa.Array], window: tuple[int, int] | None = Non
         ends = np.cumsum(b - a)
         while at < len(i):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
-            of, k = _spread(a[at:to], b[at:to])
+            of, k = spread(a[at:to], b[at:to])
             out.append((i[at:to][of], k))
             at = to
         return out
@@ -321,7 +315,7 @@ def batch_differences(walk: list[pa.Array], window: tuple[int, int] | None = Non
     q_at = s[i] + k
     has = (code == SUBSTITUTION) & (q_at < qual_n[of])
     q_of = np.where(has, qual[np.where(has, qual_at[of] + q_at, 0)].astype(np.int64), -1) if len(qual) else np.full(len(i), -1)
-    _, at = _spread(b_at, b_at + b_n)
+    _, at = spread(b_at, b_at + b_n)
     ends = np.concatenate([[0], np.cumsum(b_n)]).astype(np.int32)
     bases = pa.StringArray.from_buffers(len(i), pa.py_buffer(ends), pa.py_buffer(seq[at].tobytes()))
     number = lambda x: pa.array(x.astype(np.int32))

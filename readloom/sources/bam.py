@@ -2,7 +2,8 @@
 
 `bam` plans a read on the driver: regions become chunks of the index, one input
 partition each; without a region the whole file is cut at record boundaries that
-the index knows, or read as one stream if there is no index. `columns` narrows
+the index knows. Without an index it is cut at bytes, and each task looks for the
+first record after its byte and the next one's. `columns` narrows
 what the decoder makes. Options arrive in lower case.
 
 A region comes from the option `region` (`region_reads` sets it). Filters of a
@@ -43,6 +44,15 @@ class Piece(InputPartition):
     region: tuple[int, int, int] | None = None
 
 
+@dataclass
+class Span(InputPartition):
+    """The records from the first one after a byte (-1: of the file) to the first one after another (None: all)."""
+
+    path: str
+    low: int
+    high: int | None
+
+
 def renamer(options: dict[str, str]) -> Callable[[str], str] | None:
     """Option `rename`: pairs old=new, separated by commas."""
     pairs = dict(p.split("=", 1) for p in options.get("rename", "").split(",") if "=" in p)
@@ -135,16 +145,25 @@ class BamReader(DataSourceReader):
                 merged = index.disjoint(index.join([index.Chunk(p.begin, p.stop) for p in out], None))
                 out = [Piece(path, c.begin, c.stop) for c in merged]
             return out or [Piece(path, 0, 0)]
+        split = int(self.options.get("splitbytes", SPLIT_BYTES))
         if found is None:
-            return [Piece(path, self.header.first_record, None)]
+            size = bgzf.Source(path).size() or 0
+            cuts = [-1, *range((self.header.first_record >> 16) + split, size - split // 2, split), None]
+            return [Span(path, a, b) for a, b in zip(cuts, cuts[1:])]
         marks = sorted({c.begin for r in found.refs for cs in r.bins.values() for c in cs} | {v for r in found.refs for v in r.linear if v})
         cuts = [self.header.first_record]
         for v in marks:
-            if (v >> 16) - (cuts[-1] >> 16) >= int(self.options.get("splitbytes", SPLIT_BYTES)):
+            if (v >> 16) - (cuts[-1] >> 16) >= split:
                 cuts.append(v)
         return [Piece(path, a, b) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
 
-    def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, piece: Piece | Span) -> Iterator[pa.RecordBatch]:
+        if isinstance(piece, Span):
+            source, n = bgzf.Source(piece.path), len(self.names)
+            begin = self.header.first_record if piece.low < 0 else bam.record_from(source, piece.low, n)
+            if begin is None:
+                return
+            piece = Piece(piece.path, begin, None if piece.high is None else bam.record_from(source, piece.high, n))
         if piece.stop == 0:
             return
         want = self.regions and [(self.header.ids().get(n, -2), s, e) for n, s, e in self.regions]

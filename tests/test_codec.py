@@ -188,6 +188,25 @@ def test_stored_blocks_have_known_sizes(tmp_path):
     assert [p[3] for p in places] == [(at + p // 500 * (500 + bgzf.STORED)) << 16 | p % 500 for p in before]
 
 
+@pytest.mark.parametrize("block,level,spans", [(300, 6, 300), (60_000, 0, 300), (700, 0, 4000)])
+def test_records_are_found_from_any_byte(tmp_path, block, level, spans):
+    """Also where records are longer than blocks, and contents hold the magic bytes."""
+    rng = random.Random(block)
+    rows = some_rows(400, seed=block)
+    for r in rows[:-2]:
+        n = rng.randint(1, spans)
+        r |= {"cigar": [n << 4], "seq": "A" * n, "qual": (bgzf.MAGIC * n)[:n] if rng.random() < 0.3 else bytes(n)}
+    path = str(tmp_path / "any.bam")
+    places = [p[3] for p in writer.write_bam(path, TEXT, REFS, rows, block=block, level=level)]
+    source = bgzf.Source(path)
+    starts = [at for at, _ in bgzf.blocks(source)]
+    for byte in [0, *rng.sample(range(source.size()), 60), source.size() - 40, source.size() - 28, source.size()]:
+        at = next((b for b in starts if b >= byte), None)
+        assert bgzf.block_from(source, byte) == at
+        want = next((p for p in places if at is not None and p >> 16 >= at), None)
+        assert byte == 0 or bam.record_from(source, byte, len(REFS)) == want
+
+
 def test_fields_on_request(made):
     path, _ = made
     s = bgzf.Source(path)

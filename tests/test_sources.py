@@ -35,6 +35,10 @@ def test_region_option_filters_and_full_scan_agree(spark, made):  # noqa: F811
             assert {r.record_id for r in region.records_for_range(once, "chr2", a, b).collect()} == want
     assert whole.count() == source.read_bam(spark, path, splitBytes="20000").count() == len(rows)
     assert source.read_bam(spark, path, splitBytes="20000").rdd.getNumPartitions() > 3
+    for size in ("3000", "20000", "1000000000"):
+        cut = source.read_bam(spark, path, useIndex="false", splitBytes=size)
+        assert sorted(r.record_id for r in cut.select("record_id").collect()) == sorted(r.record_id for r in whole.select("record_id").collect())
+        assert (cut.rdd.getNumPartitions() > 3) == (size != "1000000000")
     two = source.read_bam(spark, path, region="chr1:0-5000;chr1:4000-9000")
     assert two.count() == region.records_for_range(whole, "chr1", 0, 9000).count()
 
