@@ -88,8 +88,11 @@ def sample_key(put_out: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return h
 
 
-def prepare(items: list[tuple[int, str]], *, part: int, rate: float, recall: float, walks: int, picks: int, most: int, seed: int) -> Index | None:
-    """Embed the items' parts and add repeats until `recall` of edited copies of each length are found; an error if `most` don't do."""
+def prepare(items: list[tuple[int, str]], *, part: int, rate: float, recall: float, walks: int, picks: int, most: int, seed: int, tries: int = 12) -> Index | None:
+    """Embed the items' parts and add repeats until `recall` of edited copies of each length are found; an error if `most` don't do.
+
+    Of `tries` random choices of positions a repeat takes the one that finds most of what is still missed.
+    """
     rng = np.random.default_rng(seed)
     vocabulary: dict[bytes, int] = {}
     ids, coded = [], []
@@ -159,14 +162,19 @@ def prepare(items: list[tuple[int, str]], *, part: int, rate: float, recall: flo
             raise ValueError(f"only {index.recall:.3f} of edited copies are found after {r} repeats, not {recall}: allow more repeats or fewer edits")
         n = int(classes[int(np.argmin(found))])
         reach = min(steps, n + n // 2 if n < part else 2 * part)
-        pos = np.sort(rng.choice(reach, min(picks, n), replace=False))
         b = r % walks
-        index.samples.append(pos)
-        k = sample_key(put_items[b], pos)
+        # a word is put out twice in the mean: positions with room between them read different words
+        some = min(picks, n)
+        apart = max(1, reach // (2 * some))
+        tried = [np.sort(rng.choice(reach - (apart - 1) * (some - 1), some, replace=False)) + (apart - 1) * np.arange(some) for _ in range(tries)]
+        hits = [sample_key(put_trials[b], p) == sample_key(put_items[b], p)[trial_of] for p in tried]
+        best = int(np.argmax([(h & missed & (of == n)).sum() for h in hits]))
+        index.samples.append(tried[best])
+        k = sample_key(put_items[b], tried[best])
         order = np.argsort(k, kind="stable")
         index.keys.append(k[order])
         index.owner.append(owners[order])
-        missed &= sample_key(put_trials[b], pos) != k[trial_of]
+        missed &= ~hits[best]
 
 
 def best_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
