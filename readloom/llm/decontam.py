@@ -263,7 +263,7 @@ def leaks_in(texts: list[str | None], index: Index) -> list[list[tuple[int, int,
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
-               part: int = 12, rate: float = 0.2, recall: float = 0.99, walks: int = 8, picks: int = 4, most_repeats: int = 256, block_items: int = 20_000, seed: int = 5) -> DataFrame:
+               part: int = 12, rate: float = 0.2, recall: float = 0.999, walks: int = 8, picks: int = 4, most_repeats: int = 256, block_items: int = 20_000, seed: int = 5) -> DataFrame:
     """A row for each document and item that it leaks: doc_id, item_id, distance, item_words, start_word, end_word."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, distance int, item_words int, start_word int, end_word int"
@@ -302,7 +302,7 @@ def _indexes(items: DataFrame, id_col: str, text_col: str, block_items: int, **h
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
-                    part: int = 12, rate: float = 0.2, recall: float = 0.99, walks: int = 8, picks: int = 4, most_repeats: int = 256, block_items: int = 20_000, seed: int = 5) -> DataFrame:
+                    part: int = 12, rate: float = 0.2, recall: float = 0.999, walks: int = 8, picks: int = 4, most_repeats: int = 256, block_items: int = 20_000, seed: int = 5) -> DataFrame:
     """The rows of the documents that leak no item, with all their columns, without a shuffle."""
     for sent in _indexes(items, item_id_col, item_text_col, block_items, part=part, rate=rate, recall=recall, walks=walks, picks=picks, most=most_repeats, seed=seed):
 
