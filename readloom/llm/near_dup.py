@@ -14,10 +14,14 @@ number. Classes that meet under keys form families, found from links to each
 key's smallest member, never from pairs. A family's sets are then brought
 together and linked exactly: a document is compared only with those of other
 components whose size and signature allow a link. A family larger than a tile
-is cut into tiles by a hash; tiles are solved apart, then two by two, comparing
-components only. So the task's memory is bounded by two tiles, and no link
-between different texts is lost by any cap. Sets are recomputed from the texts
-for members of families only, let through by a Bloom filter of bounded size.
+is cut into tiles by a hash, which are solved apart. One member of each component
+then meets those of other tiles, which makes one component of a family of near
+copies. What can still be linked has at least one side outside of the family's
+largest component: only those members are sent to all tiles, a tile's worth at a
+time. So a task's memory is bounded by two tiles, the work by the members times
+those outside of the largest component, and no link between different texts is
+lost by any cap. Sets are recomputed from the texts for members of families only,
+let through by a Bloom filter of bounded size.
 
 Null and empty texts have no shingles and link with nothing. Repeated rows of
 one doc_id share its component; a null id has no component and is kept. Other
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from readloom import ship
 from readloom.llm import bloom
-from readloom.llm.common import Scratch, ascii_lower, slices
+from readloom.llm.common import BLANK_BYTES, Scratch, ascii_lower, slices
 from readloom.llm.components import connected_components
 
 ship(__name__)
@@ -74,14 +78,30 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_BYTE = np.random.default_rng(2).integers(0, 1 << 64, 256, dtype=np.uint64)  # a random number for each byte
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[list(BLANK_BYTES)] = False
+
+
+def hashed_words(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased: the sum of its bytes' numbers, each times a power of MIX by its place."""
+    raw = np.frombuffer(ascii_lower(text or ""), np.uint8)
+    inside = _IS_WORD[raw]
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+    size = np.diff(np.append(first, len(at)))
+    power = np.multiply.accumulate(np.full(int(size.max()), MIX))
+    place = np.arange(len(at)) - np.repeat(first, size)
+    return mixed(np.add.reduceat(_BYTE[raw[at]] * power[place], first) + size.astype(np.uint64))
+
+
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `size` words; of the whole sequence if it is shorter."""
-    w = ascii_lower(text or "").split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    ids: dict[bytes, int] = {}
-    code = np.fromiter((ids.setdefault(x, len(ids)) for x in w), np.int64, len(w))
-    a = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))[code]
+    a = hashed_words(text)
+    if not len(a):
+        return a
     n = max(1, len(a) - size + 1)
     s = np.full(n, np.uint64(min(size, len(a))))
     for k in range(min(size, len(a))):
@@ -119,20 +139,19 @@ class Union:
             self.up = nxt
 
 
-def link(sets: list[np.ndarray], sigs: np.ndarray, comp: np.ndarray, tile: np.ndarray, num: int, den: int) -> np.ndarray:
+def link(sets: list[np.ndarray], sigs: np.ndarray, comp: np.ndarray, side: np.ndarray | None, num: int, den: int) -> np.ndarray:
     """Exact components of the members: labels are member numbers.
 
-    Members with equal `comp` are together from the start. With two tiles, only
-    pairs across them are looked at; within one tile all are.
+    Members with equal `comp` are together from the start. With sides, only pairs
+    across them are looked at; else all are.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     sets = [sets[i] for i in order]
-    sigs, size, tile = sigs[order], size[order], tile[order]
+    sigs, size, side = sigs[order], size[order], None if side is None else side[order]
     _, at = np.unique(comp[order], return_inverse=True)
     label = at.astype(np.int64)
-    across = tile.min() != tile.max()
     universe, code = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.concatenate([[0], np.cumsum(size)])
     mark = np.zeros(len(universe), bool)
@@ -140,8 +159,8 @@ def link(sets: list[np.ndarray], sigs: np.ndarray, comp: np.ndarray, tile: np.nd
         last = int(np.searchsorted(size, size[x] * den / num + 1e-9, side="right"))
         y = np.arange(x + 1, last)
         y = y[label[y] != label[x]]
-        if across:
-            y = y[tile[y] != tile[x]]
+        if side is not None:
+            y = y[side[y] != side[x]]
         if len(y):
             y = y[(sigs[y] != sigs[x]).sum(1) <= distance(sigs.shape[1])]
         if not len(y):
@@ -201,7 +220,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
         .select("family", F.ceil(F.greatest(F.col("m") / tile_rows, F.col("w") / tile_shingles)).cast("int").alias("tiles"))
     )
-    placed = scratch.keep(members.join(tiles, "family").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("id", "family", "tiles", "tile"))
+    placed = scratch.keep(members.join(tiles, "family").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("id", "family", "tiles", "tile", "n"))
     scratch.drop(tiles)
     bits = bloom.bits_for(placed.count(), max_filter_bits)
     filt = spark.sparkContext.broadcast(bloom.build(placed.select("id").mapInArrow(_hashed_ids, "h long"), bits))
@@ -220,31 +239,66 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 sig = [signature(s, odd).tobytes() if len(s) else None for s in got]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array([s.tobytes() for s in got], pa.binary()), pa.array(sig, pa.binary())], names=["id", "shingles", "sig"])
 
-    found = docs.mapInArrow(sets_of, "id long, shingles binary, sig binary").join(placed, "id").where(F.col("sig").isNotNull())
-
-    def solve(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(parts)
-        ids, first = np.unique(t.column("id").to_numpy(), return_index=True)  # repeated rows of an id: one of them
-        t = t.take(pa.array(first))
-        got = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, symbols)
-        old = t.column("comp").to_numpy()
-        label = link(got, sig, old, t.column("tile").to_numpy(), num, den)
-        smallest = np.full(label.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, label, old)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(old), pa.array(smallest[label])], names=["id", "old", "comp"])
+    found = docs.mapInArrow(sets_of, "id long, shingles binary, sig binary").join(placed.drop("n"), "id").where(F.col("sig").isNotNull())
+
+    def solver(across: bool):
+        """(id, old, comp) of each member of a group; `across` looks at pairs of different sides only."""
+
+        def solve(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(parts)
+            ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
+            if across and side.min() == side.max():
+                return
+            order = np.lexsort((side, ids))  # repeated rows of an id: one of them
+            i, k = ids[order], side[order]
+            t = t.take(pa.array(order[np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])])]))
+            got = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, symbols)
+            old = t.column("comp").to_numpy()
+            label = link(got, sig, old, t.column("side").to_numpy() if across else None, num, den)
+            smallest = np.full(label.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(smallest, label, old)
+            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), pa.array(old), pa.array(smallest[label])], names=["id", "old", "comp"])
+
+        return solve
 
     out_schema = "id long, old long, comp long"
-    single = found.withColumn("comp", F.col("id"))
-    one = scratch.keep(single.groupBy("family", "tile").applyInArrow(solve, out_schema).select("id", "comp"))
+    tiles_for = lambda n, w: F.ceil(F.greatest(n / tile_rows, w / tile_shingles)).cast("int")
+    single = found.withColumns({"comp": F.col("id"), "side": F.lit(0)})
+    one = scratch.keep(single.groupBy("family", "tile").applyInArrow(solver(False), out_schema).select("id", "comp"))
+
+    def merged(groups: DataFrame, across: bool) -> DataFrame:
+        """(comp, top): components that the groups tie together."""
+        keys = [c for c in ("family", "tile", "part") if c in groups.columns]
+        ties = groups.groupBy(*keys).applyInArrow(solver(across), out_schema).where(F.col("old") != F.col("comp")).select(F.col("old").alias("a"), F.col("comp").alias("b")).distinct()
+        return connected_components(ties, scratch).select(F.col("id").alias("comp"), F.col("component").alias("top"))
+
+    def raised(rows: DataFrame, over: DataFrame) -> DataFrame:
+        return rows.join(over, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top")
+
     if placed.where(F.col("tiles") > 1).limit(1).count():
-        # families of several tiles: each two of them, by the components that they have so far
-        many = found.where(F.col("tiles") > 1).join(one, "id")
-        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-        pairs = many.select("*", other).where(F.col("other") != F.col("tile")).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
-        joins = pairs.groupBy("family", "i", "j").applyInArrow(solve, out_schema).where(F.col("old") != F.col("comp")).select(F.col("old").alias("a"), F.col("comp").alias("b")).distinct()
-        over = connected_components(joins, scratch).select(F.col("id").alias("comp"), F.col("component").alias("top"))
-        one = scratch.keep(one.join(over, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")))
+        # sets are written once; what is found out about their ids stays in narrow tables
+        many = scratch.keep(found.where(F.col("tiles") > 1).select("id", "shingles", "sig"))
+        state = scratch.keep(placed.where(F.col("tiles") > 1).join(one, "id"))
+        # one member of each component
+        heads = state.where(F.col("id") == F.col("comp"))
+        parts = heads.groupBy("family").agg(tiles_for(F.count("*"), F.sum("n")).alias("parts"))
+        heads = heads.join(parts, "family").select("id", "family", "comp", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"))
+        over = scratch.keep(merged(many.join(scratch.keep(heads), "id"), False))
+        state = scratch.keep(raised(state, over))
+        # members outside of their family's largest component against all
+        by_comp = state.groupBy("family", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+        largest = by_comp.groupBy("family").agg(F.max_by("comp", F.struct("m", "w", "comp")).alias("main"))
+        outside = by_comp.join(largest, "family").where(F.col("comp") != F.col("main")).groupBy("family", "main").agg(tiles_for(F.sum("m"), F.sum("w")).alias("parts"))
+        open_ = scratch.keep(state.join(scratch.keep(outside), "family"))
+        place = lambda tile, part, side: F.struct(tile.alias("tile"), part.alias("part"), F.lit(side).alias("side"))
+        here = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda part: place(F.col("tile"), part, 0))
+        mine = F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")).cast("int")
+        there = F.when(F.col("comp") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda tile: place(tile, mine, 1)))
+        dealt = open_.select("id", "family", "comp", F.explode(F.concat(here, F.coalesce(there, F.array().cast("array<struct<tile:int,part:int,side:int>>")))).alias("at"))
+        last = scratch.keep(merged(many.join(dealt.select("id", "family", "comp", "at.*"), "id"), True))
+        one = scratch.keep(raised(raised(one, over), last))
+        scratch.drop(many)
     linked = classes.join(one, F.col("rep") == F.col("id"), "left").select("hi", "lo", F.coalesce("comp", "rep").alias("component"))
     linked = scratch.keep(linked)
     out = rows.join(linked, ["hi", "lo"], "left").select(

@@ -31,25 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom import ship
 from readloom.llm import bloom
-from readloom.llm.common import Scratch, ascii_lower, slices
-from readloom.llm.near_dup import MIX, mixed
+from readloom.llm.common import Scratch, slices
+from readloom.llm.near_dup import MIX, hashed_words, mixed
 
 ship(__name__)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    w = ascii_lower(text or "").split()
-    ids: dict[bytes, int] = {}
-    code = np.fromiter((ids.setdefault(x, len(ids)) for x in w), np.int64, len(w))
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))[code]
-
-
 def rolled(a: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words, by doubling."""
     if len(a) < n:
@@ -89,7 +81,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_docs = docs.count()
 
     def suffixes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a = word_hashes(text)
+        a = hashed_words(text)
         if len(a) < least:
             return a, np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = minimisers(a, kmer, window)
@@ -188,12 +180,14 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for at in range(0, t.num_rows, 5000):
             part = t.slice(at, 5000)
             here = slice(at, at + part.num_rows)
-            hash_, fits = windows(part)
-            want = fits & ((s > k[here, None]) | (least - s > r[here, None]))
+            na, nb = (part.column(c).to_numpy() for c in ("n_after", "n_before"))
+            want = (s <= nb[:, None]) & (side - s <= na[:, None]) & ((s > k[here, None]) | (least - s > r[here, None]))
+            some = np.flatnonzero(want.any(1))  # the others are settled, and most are
+            hash_, _ = windows(part.take(pa.array(some)))
             pos = part.column("pos").to_numpy()
             ends = pa.array(np.concatenate([[0], np.cumsum(want.sum(1))]).astype(np.int32))
             cols = [part.column("doc_id").combine_chunks(), *(pa.array(x.astype(np.int32)) for x in (pos, pos - k[here], pos + r[here])), pa.array(ok[here])]
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (hash_[want].view(np.int64), np.broadcast_to(s.astype(np.int32), want.shape)[want])]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (hash_[want[some]].view(np.int64), np.broadcast_to(s.astype(np.int32), want.shape)[want])]
             out = pa.RecordBatch.from_arrays([*cols, *lists], names=["doc_id", "pos", "start", "end", "ok", "hash", "left"])
             yield out.filter(pa.array(ok[here] | want.any(1)))
 

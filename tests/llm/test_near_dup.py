@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from readloom.llm import near_dup
@@ -55,6 +57,32 @@ def test_families_of_many_tiles(docs, rows):
     check(near_duplicates(docs, tile_rows=2), rows)
 
 
+def test_large_families_of_several_components(spark):
+    """Near copies of one text, others between them and the next, and some that only share keys."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    rows, base = [], [word() for _ in range(200)]
+    for k in range(90):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 6, 8, 10, 14])):
+            w[rng.randrange(200)] = word()
+        rows.append((1000 - k, " ".join(w)))
+        if k % 9 == 0:
+            base[rng.randrange(200)] = word()
+    rows += [(2000 + k, " ".join(word() for _ in range(60))) for k in range(20)] + rows[:5]
+    check(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile_rows=6), rows)
+    check(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile_shingles=900), rows)
+
+
+def test_words_are_told_apart_by_their_hashes(rows):
+    words = sorted({w for r in rows for w in (r[1] or "").encode().lower().split()} | {b"x%d" % i for i in range(100_000)} | {bytes([97 + i % 2]) * n for i in range(2) for n in range(1, 400)})
+    text = b" \t\n\x0b".join(words).decode()
+    h = near_dup.hashed_words(text)
+    assert len(h) == len(words) == len(set(h.tolist()))
+    assert near_dup.hashed_words("Aé\x1cB  aÉ aé\x1cb").tolist()[0] == near_dup.hashed_words("\naé\x1cb\r")[0] and len(near_dup.hashed_words("\x1c é")) == 2
+    assert len(near_dup.hashed_words(None)) == len(near_dup.hashed_words(" \n")) == 0
+
+
 def test_empty_table(empty):
     assert near_duplicates(empty).count() == 0
 
