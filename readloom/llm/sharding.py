@@ -12,8 +12,9 @@ indivisible and once as fluid, and splits only the segments where the two
 disagree about a cut, until every cut falls between segments. Each round is one
 aggregation over the group table.
 
-Slots are counted within salted parts of a shard, so neither a shard nor a large
-group of copies is ever gathered in one task.
+Slots are counted within salted parts of a shard, dealt by a number that each
+written row has of its own, so neither a shard nor a large group of copies or of
+null ids is ever gathered in one task.
 
 Null texts count as empty (size 1, crc32 0) and form a group with those. Repeated
 rows are rows of their own; null ids are allowed; other columns aren't read.
@@ -171,6 +172,7 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = scratch.keep(
         df.select(
             F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("h"),
+            F.monotonically_increasing_id().alias("row"),  # written with the rows, so it stays what it is
         )
     )
     groups = scratch.keep(rows.groupBy("h").agg(F.sum("size").alias("size")))
@@ -181,10 +183,10 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch.drop(groups)
     # slots: parts of about rows_a_part rows by a salt of the row, then a running count over parts
     n_parts = max(1, -(-rows.count() // rows_a_part))
-    placed = rows.withColumn("shard", shard).withColumn("part", F.pmod(F.xxhash64("doc_id", "h"), F.lit(n_parts)))
+    placed = rows.withColumn("shard", shard).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(n_parts)))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "part").orderBy("h", "doc_id")
+    within = Window.partitionBy("shard", "part").orderBy("row")
     out = placed.withColumn("k", F.row_number().over(within) - 1).join(starts, ["shard", "part"])
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("k")).alias("slot"))
