@@ -27,8 +27,8 @@ _left: list[tuple[SparkSession, str]] = []
 class Scratch:
     """Parquet tables in the shared folder, which cut the lineage.
 
-    They survive a lost executor. `drop` removes one that is no longer read; the
-    rest go when the Python driver ends.
+    They survive a lost executor. `drop` removes one that is no longer read; `tidy`
+    removes the rest, at the latest when the Python driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
@@ -55,13 +55,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def made() -> int:
+    """How many folders there are for `tidy` now."""
+    return len(_left)
+
+
 @atexit.register
-def _tidy() -> None:
-    for spark, base in _left:
+def tidy(since: int = 0) -> None:
+    """Delete the tables of the operators that began after `made()` said `since`: their results must not be read any more.
+
+    A long session calls it once it has written what it wants to keep.
+    """
+    while len(_left) > since:
+        spark, base = _left.pop()
         try:
             _delete(spark, base)
-        except Exception:  # the session has ended before us
-            return
+        except Exception:  # noqa: BLE001 - the session has ended before us
+            continue
 
 
 def once_per_process(key: str, make: Callable[[], Any]) -> Any:

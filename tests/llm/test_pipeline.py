@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from readloom.llm import pipeline, quality_classifier, queries, sql, stats
+from readloom.llm import common, pipeline, quality_classifier, queries, sql, stats
+from readloom.llm.near_dup import near_duplicates
 
 
 def test_stages_on_driver_tables(spark, tmp_path):
@@ -104,6 +105,18 @@ def test_near_stage_drops_copies_of_similarity_080(spark):
     assert {i for i, _ in rows} - {r.doc_id for r in out.collect()} == set(range(2000, 2030))
 
 
+def test_tables_between_steps_go(spark, docs):
+    first = common.made()
+    out = near_duplicates(docs)
+    out.count()
+    base = common._left[-1][1]
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert store.exists(path) and common.made() == first + 1
+    common.tidy(first)
+    assert not store.exists(path) and common.made() == first
+
+
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(sql.ORACLE_SQL) <= set(queries.QUERIES)
