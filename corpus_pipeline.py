@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm import pipeline
-from readloom.llm.common import Scratch
+from readloom.llm.common import Scratch, made, tidy
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_classifier", pipeline.quality),
@@ -23,16 +23,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", pipeline.pack),
 ]
 
-ORACLE_SQL = None  # trained models, tokens and edit distances; tests hold each stage against brute force
+ORACLE_SQL = None  # trained models, tokens and edit distances; tests/llm/test_pipeline.py holds each stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, over the documents of one folder."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
+    before, first = None, made()
     for _, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir))
+        tidy(first)  # what the stage itself wrote between its steps
         if before is not None:
             scratch.drop(before)
         before = docs
