@@ -127,18 +127,6 @@ def keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-class Union:
-    def __init__(self, n: int) -> None:
-        self.up = np.arange(n)
-
-    def label(self) -> np.ndarray:
-        while True:
-            nxt = self.up[self.up]
-            if (nxt == self.up).all():
-                return nxt
-            self.up = nxt
-
-
 def link(sets: list[np.ndarray], sigs: np.ndarray, comp: np.ndarray, side: np.ndarray | None, num: int, den: int) -> np.ndarray:
     """Exact components of the members: labels are member numbers.
 
