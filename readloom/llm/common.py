@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom import ship
@@ -82,6 +83,23 @@ def once_per_process(key: str, make: Callable[[], Any]) -> Any:
     return getattr(store, key)
 
 
+class Sent:
+    """A broadcast of any object, whose class the executors needn't be able to import."""
+
+    def __init__(self, spark: SparkSession, thing: Any) -> None:
+        self.key, self.raw = uuid.uuid4().hex, spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+    @property
+    def value(self) -> Any:
+        """The object, made once in each Python worker, which holds the last few."""
+        held = once_per_process("sent", dict)
+        if self.key not in held:
+            while len(held) >= 4:
+                held.pop(next(iter(held)))
+            held[self.key] = cloudpickle.loads(self.raw.value)
+        return held[self.key]
+
+
 def short_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Send whole texts to Python in batches of fewer rows, unless the session already says how many."""
     name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"

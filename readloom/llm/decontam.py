@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom import ship
+from readloom.llm.common import Sent
 
 ship(__name__)
 
@@ -298,7 +299,7 @@ def _indexes(items: DataFrame, id_col: str, text_col: str, block_items: int, **h
     for block in batched(one_each.toLocalIterator(), block_items):
         index = prepare([(r.i, r.t) for r in block], **how)
         if index is not None:
-            yield items.sparkSession.sparkContext.broadcast(index)
+            yield Sent(items.sparkSession, index)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom import ship
+from readloom.llm.common import Sent
 from readloom.llm.html_blocks import Block, Place, blocks
 
 ship(__name__)
@@ -268,7 +269,7 @@ def extract_text(page: str | None, model: Crf, places: dict | None = None) -> st
 
 def extract_pages(df: DataFrame, model: Crf | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: page_id, url, text and n_chars."""
-    sent = df.sparkSession.sparkContext.broadcast(model or default_model())
+    sent = Sent(df.sparkSession, model or default_model())
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom import ship
-from readloom.llm.common import slices
+from readloom.llm.common import Sent, slices
 
 ship(__name__)
 
@@ -295,7 +295,7 @@ def scan_text(text: str | None, model: Model, cut: float = 0.5, share: float = 0
 def scan_licenses(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, cut: float = 0.5, share: float = 0.7) -> DataFrame:
     """A row for each paragraph with a known family: doc_id, paragraph (its first line), n_lines, family, probability, similarity, confirmed."""
     kind = df.schema[id_col].dataType.simpleString()
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(df.sparkSession, model)
     names = ["doc_id", "paragraph", "n_lines", "family", "probability", "similarity", "confirmed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from readloom import ship
 from readloom.llm import bloom
-from readloom.llm.common import BLANK_BYTES, Scratch, slices
+from readloom.llm.common import BLANK_BYTES, Scratch, Sent, slices
 
 ship(__name__)
 
@@ -148,7 +148,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     if confirmed.count() <= broadcast_rows:
         scratch.drop(found)
-        known = spark.sparkContext.broadcast(Keys(confirmed.toArrow()))
+        known = Sent(spark, Keys(confirmed.toArrow()))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):

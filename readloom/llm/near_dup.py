@@ -165,7 +165,7 @@ def link(sets: list[np.ndarray], sigs: np.ndarray, comp: np.ndarray, side: np.nd
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, num: int = 85, den: int = 100, shingle: int = 5,
-                    tile_rows: int = 4000, tile_shingles: int = 4_000_000, max_filter_bits: int = 1 << 28, seed: int = 11) -> DataFrame:
+                    tile_rows: int = 2000, tile_shingles: int = 2_000_000, max_filter_bits: int = 1 << 28, seed: int = 11) -> DataFrame:
     """One row a row: doc_id, n_shingles, component_id and kept. Links: den * intersection >= num * union."""
     spark = df.sparkSession
     scratch = Scratch(spark, "near_dup")
