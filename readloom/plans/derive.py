@@ -67,6 +67,7 @@ def table_state(spark: SparkSession, path: str) -> str:
 
 TEXT = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in REFS) + "@CO\tderived: from orders\n"
 BLOCK = 60_000  # bytes of records in a block of the file
+ROWS = 250_000  # of the table that the driver gets at a time, in the mean
 
 
 def bam_file(spark: SparkSession, sf_dir: str) -> str:
@@ -79,7 +80,9 @@ def bam_file(spark: SparkSession, sf_dir: str) -> str:
     path = qualified(spark, f"{shared_dir(spark)}/alignments/{key}.bam")
     if exists(spark, path + ".csi"):
         return path
-    rows = order_reads(spark, sf_dir).orderBy("ref_id", "start", "record_id").toLocalIterator()
+    reads, order = order_reads(spark, sf_dir), ("ref_id", "start", "record_id")
+    parts = -(-reads.count() // ROWS) or 1
+    rows = reads.repartitionByRange(parts, *order).sortWithinPartitions(*order).toLocalIterator()  # the driver gets a part at a time
 
     def encoded():
         for r in rows:
@@ -89,7 +92,7 @@ def bam_file(spark: SparkSession, sf_dir: str) -> str:
                 "qual": bytes([r.record_id % 40]) * n, "tags": [("NM", "i", r.record_id % 7), ("RG", "Z", f"g{r.record_id % 3}")],
             }
 
-    places: list[writer.Place] = []
+    places = writer.Gathered()
     size = put(spark, path, writer.bam_blocks(TEXT, REFS, encoded(), places, BLOCK, 0))
     for kind in ("bai", "csi"):
         put(spark, f"{path}.{kind}", [writer.index_bytes(places, len(REFS), size - len(bgzf.EOF_BLOCK) << 16, kind)])

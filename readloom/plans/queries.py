@@ -18,7 +18,7 @@ from readloom.functions import columns as C
 from readloom.functions import tags as T
 from readloom.operators import index_stats, mismatch, pairs, reference, region
 from readloom.plans import derive as D
-from readloom.shared import exists, put, shared_dir
+from readloom.shared import copy, exists, put, shared_dir
 from readloom.sources import bam as source
 
 ship(__name__)
@@ -533,12 +533,13 @@ def e4_estimated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def io_htsget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets answered by files: the header in one part, the data in two."""
     path = D.bam_file(spark, sf_dir)
-    data = bgzf.Source(path).all()
-    cut = int.from_bytes(data[16:18], "little") + 1
+    file = bgzf.Source(path)
+    cut = bgzf.block_size(file.read(0, 18), 0)
     parts = {name: f"{path}.{name}" for name in ("head", "rest")}
-    for name, content in (("head", data[:cut]), ("rest", data[cut:])):
-        if not exists(spark, parts[name]):
-            put(spark, parts[name], [content])
+    if not exists(spark, parts["head"]):
+        put(spark, parts["head"], [file.read(0, cut)])
+    if not exists(spark, parts["rest"]):
+        copy(spark, parts["rest"], path, cut)
 
     def ticket(*names: str) -> str:
         body = json.dumps({"htsget": {"format": "BAM", "urls": [{"url": parts[n]} for n in names]}})
@@ -557,7 +558,7 @@ def g9_arriving_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = D.bam_file(spark, sf_dir)
     folder = path + ".arrivals"
     if not exists(spark, f"{folder}/one.bam"):
-        put(spark, f"{folder}/one.bam", [bgzf.Source(path).all()])
+        copy(spark, f"{folder}/one.bam", path)
     out = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
     stream = spark.readStream.format("bam").option("columns", "flags,start").load(folder)
     run = stream.writeStream.format("parquet").option("path", out + "/rows").option("checkpointLocation", out + "/state").trigger(processingTime="0 seconds").start()

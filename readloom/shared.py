@@ -60,6 +60,18 @@ def put(spark: SparkSession, path: str, parts: Iterable[bytes], size: int = 1 <<
     return n
 
 
+def copy(spark: SparkSession, path: str, source: str, start: int = 0) -> None:
+    """Write a file of another one's bytes from `start` on, by the JVM's streams."""
+    store, at = _at(spark, path)
+    _, part = _at(spark, f"{path}.part")
+    whence, there = _at(spark, source)
+    read, out = whence.open(there), store.create(part, True)
+    read.seek(start)
+    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, 1 << 16, True)  # closes both
+    store.delete(at, False)
+    store.rename(part, at)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its scheme, as readers outside of Spark need it."""
     store, at = _at(spark, path)

@@ -14,7 +14,6 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,9 @@ from readloom.sources.bam import overlapping, parse_region
 
 ship(__name__)
 
+#: Bytes of records that a task decodes at a time.
+WINDOW = 1 << 20
+
 
 def error_text(body: bytes) -> str:
     """`type: message` of an error reply, or the reply itself."""
@@ -41,31 +43,34 @@ class Client:
         self.headers = json.loads(options.get("headers", "{}"))
         self.replies = json.loads(options.get("replies", "{}"))
 
-    def get(self, url: str, headers: dict[str, str] | None = None) -> bytes:
+    def chunks(self, url: str, headers: dict[str, str] | None = None, size: int = 1 << 20) -> Iterator[bytes]:
+        """What an address has, so many bytes at a time."""
         url = self.replies.get(url, url)
         if url.startswith("data:"):
             head, _, data = url.partition(",")
-            return base64.b64decode(data) if head.endswith(";base64") else urllib.parse.unquote_to_bytes(data)
+            yield base64.b64decode(data) if head.endswith(";base64") else urllib.parse.unquote_to_bytes(data)
+            return
         if not url.startswith(("http://", "https://")):
-            return bgzf.Source(url).all()
+            yield from bgzf.Source(url).chunks(size)
+            return
         sent = {k: v for k, v in {**self.headers, **(headers or {})}.items() if k.lower() != "referer"}
         try:
             with urllib.request.urlopen(urllib.request.Request(url, headers=sent)) as r:
-                return r.read()
+                while got := r.read(size):
+                    yield got
         except urllib.error.HTTPError as e:
             raise OSError(f"HTTP {e.code} for {url}: {error_text(e.read())}") from e
 
     def ticket(self, url: str) -> list[dict]:
-        body = json.loads(self.get(url))
+        body = json.loads(b"".join(self.chunks(url)))
         if "htsget" not in body or "urls" not in body["htsget"]:
             raise OSError(f"no ticket from {url}: {error_text(json.dumps(body).encode())}")
         return body["htsget"]["urls"]
 
-    def fetch(self, url: str) -> bytes:
-        """The ticket's parts, fetched together, unpacked each for itself, in the ticket's order."""
-        urls = self.ticket(url)
-        with ThreadPoolExecutor(max_workers=6) as pool:
-            return b"".join(bgzf.inflate_all(x) for x in pool.map(lambda u: self.get(u["url"], u.get("headers")), urls))
+    def fetch(self, url: str) -> Iterator[bytes]:
+        """The contents of the ticket's parts in its order, unpacked each for itself, a block or chunk at a time."""
+        for u in self.ticket(url):
+            yield from bgzf.inflated(self.chunks(u["url"], u.get("headers")))
 
 
 def records_offset(data: bytes) -> int:
@@ -79,6 +84,20 @@ def records_offset(data: bytes) -> int:
     return table[1]
 
 
+def first_bytes(parts: Iterator[bytes]) -> bytes:
+    """As many parts as tell where records begin, in one; all if they don't."""
+    held = bytearray()
+    for p in parts:
+        held += p
+        if len(held) >= 4:
+            try:
+                records_offset(bytes(held))
+            except bgzf.Truncated:
+                continue
+            break
+    return bytes(held)
+
+
 class HtsgetSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -95,12 +114,12 @@ class HtsgetReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.options = options
         self.base = options["path"] if "path" in options else f"{options['url'].rstrip('/')}/{options['id']}"
-        head = Client(options).fetch(f"{self.base}?class=header&format=BAM")
-        size = int.from_bytes(head[4:8], "little")
-        table = bam.parse_references(head, 8 + size) if head[:4] == b"BAM\1" else None
-        if table is None:
+        head = first_bytes(Client(options).fetch(f"{self.base}?class=header&format=BAM"))
+        if head[:4] != b"BAM\1":
             raise bgzf.Truncated("the header is cut short")
-        self.header = bam.Header(head[8:8 + size].decode("utf-8", "replace"), table[0], 0)
+        records_offset(head)  # raises if the header isn't all there
+        size = int.from_bytes(head[4:8], "little")
+        self.header = bam.Header(head[8:8 + size].decode("utf-8", "replace"), bam.parse_references(head, 8 + size)[0], 0)
 
     def partitions(self) -> list[InputPartition]:
         ids = self.header.ids()
@@ -115,13 +134,24 @@ class HtsgetReader(DataSourceReader):
             return
         where = dict(zip(("referenceName", "start", "end"), partition.value))
         ask = urllib.parse.urlencode({**where, "format": "BAM"})
-        data = Client(self.options).fetch(f"{self.base}?{ask}")
-        starts, stop = bam.record_starts(data, records_offset(data))
-        if stop < len(data):
+        parts = Client(self.options).fetch(f"{self.base}?{ask}")
+        names, buf, base = [n for n, _ in self.header.references], first_bytes(parts), 0  # base: where the buffer begins in the reply
+        at = records_offset(buf)
+        while True:
+            more = bytearray()
+            while len(more) < WINDOW and (got := next(parts, None)) is not None:
+                more += got
+            buf += more
+            starts, stop = bam.record_starts(buf, at)
+            if starts:
+                out = bam.batch(buf, starts, base + np.array(starts), names)
+                if partition.value:
+                    name, start, end = partition.value
+                    out = out.filter(pa.array(overlapping(out, [(self.header.ids()[name], start, end)])))
+                if out.num_rows:
+                    yield out
+            if not more:
+                break
+            buf, at, base = buf[stop:], 0, base + stop
+        if stop < len(buf):
             raise bgzf.Truncated("reply ends inside a record")
-        if starts:
-            out = bam.batch(data, starts, np.array(starts), [n for n, _ in self.header.references])
-            if partition.value:
-                name, start, end = partition.value
-                out = out.filter(pa.array(overlapping(out, [(self.header.ids()[name], start, end)])))
-            yield out

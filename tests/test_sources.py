@@ -7,6 +7,7 @@ import random
 import shutil
 import sys
 import threading
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -14,8 +15,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom import shared
-from readloom.codec import bgzf
+from readloom.codec import bgzf, writer
 from readloom.operators import pairs, reference, region
+from readloom.plans import queries
 from readloom.plans.derive import bam_file
 from readloom.sources import bam as source
 from readloom.sources import htsget
@@ -268,3 +270,61 @@ def test_alignment_file_follows_the_orders_table(spark, tmp_path):
     assert bam_file(spark, str(tmp_path)) == old and source.read_bam(spark, old).count() == 40
     put(25)
     assert source.read_bam(spark, bam_file(spark, str(tmp_path))).count() == 25
+
+
+def _peak(run):
+    """Bytes that Python holds at most while it runs."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_the_driver_never_holds_an_alignment_file(spark, monkeypatch):
+    def whole(self):
+        assert ".bam" not in self.path or self.path.endswith((".bai", ".csi")), f"all of {self.path} at once"
+        return b"".join(self.chunks())
+
+    held = []
+    monkeypatch.setattr(bgzf.Source, "all", whole)
+    monkeypatch.setattr(queries, "put", lambda s, path, parts, real=shared.put: real(s, path, [held.append(len(p)) or p for p in parts]))
+    sf = "/root/testdata/sf0.001"
+    assert sum(r.n for r in queries.QUERIES["g9_arriving_files"](spark, sf).collect()) == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert queries.QUERIES["io_htsget"](spark, sf).count() > 0
+    assert max(held, default=0) < 1000
+    path = bam_file(spark, sf)
+    assert bgzf.Source(path + ".arrivals/one.bam").size() == bgzf.Source(path).size() == sum(bgzf.Source(f"{path}.{p}").size() for p in ("head", "rest"))
+
+
+def test_an_index_is_gathered_without_the_places_of_all_records():
+    places = [(r, a // 20, a // 20 + 90, (r * 100_000 + a) * 200, a % 7 > 0) for r in range(2) for a in range(100_000)]
+    found = writer.Gathered()
+    assert _peak(lambda: [None for p in places if found.append(p)]) < 1 << 20
+    for kind in ("bai", "csi"):
+        assert writer.index_bytes(found, 3, 200_000 * 200, kind) == writer.index_bytes(places, 3, 200_000 * 200, kind)
+
+
+def test_htsget_unpacks_a_reply_part_by_part(tmp_path):
+    block = bgzf.deflate(bytes(60_000), 0)
+    names = [str(tmp_path / k) for k in ("a", "b")]
+    for n in names:
+        Path(n).write_bytes(block * 200)
+    reply = "data:," + json.dumps({"htsget": {"urls": [{"url": n} for n in names]}})
+    assert _peak(lambda: sum(map(len, htsget.Client({}).fetch(reply)))) < 6 << 20
+    assert sum(map(len, htsget.Client({}).fetch(reply))) == 2 * 200 * 60_000
+    Path(names[1]).write_bytes(block[:-5])
+    with pytest.raises(bgzf.Truncated):
+        list(htsget.Client({}).fetch(reply))
+
+
+def test_records_of_a_long_reply_carry_over_windows(spark, made, monkeypatch):  # noqa: F811
+    path, rows = made
+    monkeypatch.setattr(htsget, "WINDOW", 1000)
+    reader = htsget.HtsgetReader({"path": "https://h/x", "replies": json.dumps({f"https://h/x?{q}format=BAM": "data:," + json.dumps({"htsget": {"urls": [{"url": path}]}}) for q in ("class=header&", "")})})
+    got = [b for p in reader.partitions() for b in reader.read(p)]
+    names = [n for b in got for n in b.column("name").to_pylist()]
+    assert len(got) > 3 and names == [r.name for r in sorted(source.read_bam(spark, path).select("name", "record_id").collect(), key=lambda r: r.record_id)]
+    ids = [i for b in got for i in b.column("record_id").to_pylist()]
+    assert ids == sorted(set(ids)) and len(ids) == len(rows)
