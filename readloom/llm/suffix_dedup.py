@@ -5,15 +5,17 @@ where a minimiser starts: the least hash among `window` runs of `kmer` words, so
 equal passages keep the same places. A passage of `least` words holds, in its
 first `window` starts, a suffix that shares its first least - window + 1 words.
 
-Pass 1 fills a twice-seen Bloom filter (of bounded size) with hashes of those
-first words; pass 2 lets through the suffixes whose hash may repeat, with the
-words on both sides that a match of `least` words needs. They are sorted by the
+Pass 1 counts the hashes of those first words, 8 bytes each, and fills a Bloom
+filter (of bounded size) with those that repeat; pass 2 lets through the suffixes
+whose hash may repeat, with the words on both sides that a match of `least` words
+needs. They are sorted by the
 words that follow, then by the words before, over range partitions that may
 split any run of equal suffixes; each suffix is compared with its sorted
 neighbours of other documents, and the match is extended right and left.
 
 What neighbours can't settle (a match that would need a third document, or one
-across a partition's end) is looked up: each passage of `least` words around a
+across a partition's end) is looked up, but for a head that one document alone
+has: each passage of `least` words around a
 head that the neighbours don't cover is wanted, by its hash, and so is any other
 document that holds it. A hash is aggregated to its least and greatest document,
 so a passage that many documents hold is one row. Matches of `least` words or
@@ -78,7 +80,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     head = least - window + 1  # words that the retained suffix of a passage surely shares
     side = window - 1  # words before it that may belong to the passage
     after = least - head  # words after the head that decide
-    n_docs = docs.count()
+    n_parts = max(12, -(-docs.count() // docs_a_part))
 
     def suffixes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = hashed_words(text)
@@ -94,8 +96,10 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], names=["h"])
 
-    bits = bloom.bits_for(60 * n_docs, max_filter_bits)
-    filt = spark.sparkContext.broadcast(bloom.build(docs.mapInArrow(hashes, "h long"), bits, twice=True))
+    # only what repeats fills the filter: one of all hashes is soon full, and lets everything through
+    repeated = scratch.keep(docs.mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    filt = spark.sparkContext.broadcast(bloom.build(repeated, bloom.bits_for(repeated.count(), max_filter_bits)))
+    scratch.drop(repeated)
     names = ["h", "after", "before", "n_after", "n_before", "doc_id", "pos"]
     schema = "h long, after binary, before binary, n_after int, n_before int, doc_id long, pos int"
 
@@ -126,7 +130,6 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 raw = [pa.array([x.tobytes() for x in y], pa.binary()) for y in (right, left)]
                 yield pa.RecordBatch.from_arrays([pa.array(h), *raw, pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(doc.astype(np.int64)), pa.array(at.astype(np.int32))], names=names)
 
-    n_parts = max(12, -(-n_docs // docs_a_part))
     found = scratch.keep(docs.mapInArrow(kept, schema))
 
     def arrays(t: pa.Table):
@@ -158,6 +161,14 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 best[i[ok]] = np.maximum(best[i[ok]], x[ok])
         return best_r, best_l, best_r > 0
 
+    def alone(t: pa.Table) -> np.ndarray:
+        """Rows whose head no other document has: the whole run of their hash is here, and of one document."""
+        h, doc = (t.column(c).to_numpy() for c in ("h", "doc_id"))
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        one = np.minimum.reduceat(doc, first) == np.maximum.reduceat(doc, first)
+        one[[0, -1]] = False  # these may go on in other partitions
+        return np.repeat(one, np.diff(np.append(first, len(h))))
+
     def windows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the passages of `least` words around each head, a column for each number of words before it, and which of them the text holds."""
         h, right, left, na, nb, _, _ = arrays(t)
@@ -175,13 +186,14 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return
         t = pa.Table.from_batches(got)
         r, k, ok = compare(t)
+        open_ = ~alone(t)
         del got
         s = np.arange(side + 1)
         for at in range(0, t.num_rows, 5000):
             part = t.slice(at, 5000)
             here = slice(at, at + part.num_rows)
             na, nb = (part.column(c).to_numpy() for c in ("n_after", "n_before"))
-            want = (s <= nb[:, None]) & (side - s <= na[:, None]) & ((s > k[here, None]) | (least - s > r[here, None]))
+            want = (s <= nb[:, None]) & (side - s <= na[:, None]) & ((s > k[here, None]) | (least - s > r[here, None])) & open_[here, None]
             some = np.flatnonzero(want.any(1))  # the others are settled, and most are
             hash_, _ = windows(part.take(pa.array(some)))
             pos = part.column("pos").to_numpy()

@@ -91,3 +91,17 @@ def test_equal_runs_share_a_minimiser():
         at = suffix_dedup.minimisers(a, 8, 16)
         places.append({int(x) - 50 for x in at if 50 <= x < 66})
     assert set.intersection(*places)
+
+
+def test_a_small_filter_lets_little_through_that_does_not_repeat(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [[f"w{i}" for i in rng.integers(0, 50_000, 200)] for _ in range(3000)]
+    for i in range(0, 60, 2):
+        texts[i + 1][20:100] = texts[i][20:100]
+    sizes = {}
+    monkeypatch.setattr(suffix_dedup.Scratch, "keep", lambda self, df, real=suffix_dedup.Scratch.keep: sizes.setdefault(tuple(df.columns), real(self, df)))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = repeated_passages(df, max_filter_bits=1 << 16).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in got) == [(i, 20, 100) for i in range(60)]
+    found, first = (next(t.count() for c, t in sizes.items() if name in c) for name in ("after", "hash"))
+    assert found < 3000 and first < 2000  # 23 suffixes a text, 69,000 in all; some 600 repeat
