@@ -14,7 +14,9 @@ number. Classes that meet under keys form families, found from links to each
 key's smallest member, never from pairs. A family's sets are then brought
 together and linked exactly: a document is compared only with those of other
 components whose size and signature allow a link. A family larger than a tile
-is cut into tiles by a hash, which are solved apart. One member of each component
+is first parted again, by the rarest shingles of its members (`prefixes`): linked
+sets share one of those, sets that only share a passage with many others don't.
+What is still larger is cut into tiles by a hash, which are solved apart. One member of each component
 then meets those of other tiles, which makes one component of a family of near
 copies. What can still be linked has at least one side outside of the family's
 largest component: only those members are sent to all tiles, a tile's worth at a
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom import ship
-from readloom.llm import bloom
+from readloom.llm import bloom, prefixes
 from readloom.llm.common import BLANK_BYTES, Scratch, ascii_lower, slices
 from readloom.llm.components import connected_components
 
@@ -165,7 +167,7 @@ def link(sets: list[np.ndarray], sigs: np.ndarray, comp: np.ndarray, side: np.nd
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, num: int = 85, den: int = 100, shingle: int = 5,
-                    tile_rows: int = 2000, tile_shingles: int = 2_000_000, max_filter_bits: int = 1 << 28, seed: int = 11) -> DataFrame:
+                    tile_rows: int = 2000, tile_shingles: int = 2_000_000, max_filter_bits: int = 1 << 28, max_places: int = 1 << 24, seed: int = 11) -> DataFrame:
     """One row a row: doc_id, n_shingles, component_id and kept. Links: den * intersection >= num * union."""
     spark = df.sparkSession
     scratch = Scratch(spark, "near_dup")
@@ -196,20 +198,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             k = keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, symbols))
             yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.repeat(b.column(0).to_numpy(), symbols))], names=["key", "id"])
 
-    filed = classes.select("rep", "sig").mapInArrow(file, "key long, id long")
-    heads = scratch.keep(filed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("top")).where(F.col("head") < F.col("top")).drop("top"))
-    meets = filed.join(heads, "key").where(F.col("id") != F.col("head")).select(F.col("id").alias("a"), F.col("head").alias("b"))
-    family = scratch.keep(connected_components(meets, scratch).withColumnRenamed("component", "family"))
-    scratch.drop(heads)
-
-    # tiles: as many as the members and their shingles need
-    members = family.join(classes.select(F.col("rep").alias("id"), "n"), "id")
-    tiles = scratch.keep(
-        members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-        .select("family", F.ceil(F.greatest(F.col("m") / tile_rows, F.col("w") / tile_shingles)).cast("int").alias("tiles"))
-    )
-    placed = scratch.keep(members.join(tiles, "family").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("id", "family", "tiles", "tile", "n"))
-    scratch.drop(tiles)
+    sizes = classes.select(F.col("rep").alias("id"), "n")
+    tiles_for = lambda n, w: F.ceil(F.greatest(n / tile_rows, w / tile_shingles)).cast("int")
+
+    def families(filed: DataFrame) -> DataFrame:
+        """(id, family, tiles, tile, n) of what meets others under keys; tiles: as many as the members and their shingles need."""
+        heads = scratch.keep(filed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("top")).where(F.col("head") < F.col("top")).drop("top"))
+        meets = filed.join(heads, "key").where(F.col("id") != F.col("head")).select(F.col("id").alias("a"), F.col("head").alias("b"))
+        members = scratch.keep(connected_components(meets, scratch).withColumnRenamed("component", "family")).join(sizes, "id")
+        scratch.drop(heads)
+        tiles = scratch.keep(members.groupBy("family").agg(tiles_for(F.count("*"), F.sum("n")).alias("tiles")))
+        out = scratch.keep(members.join(tiles, "family").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("id", "family", "tiles", "tile", "n"))
+        scratch.drop(tiles)
+        return out
+
+    placed = families(classes.select("rep", "sig").mapInArrow(file, "key long, id long"))
     bits = bloom.bits_for(placed.count(), max_filter_bits)
     filt = spark.sparkContext.broadcast(bloom.build(placed.select("id").mapInArrow(_hashed_ids, "h long"), bits))
 
@@ -251,9 +254,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return solve
 
     out_schema = "id long, old long, comp long"
-    tiles_for = lambda n, w: F.ceil(F.greatest(n / tile_rows, w / tile_shingles)).cast("int")
-    single = found.withColumns({"comp": F.col("id"), "side": F.lit(0)})
-    one = scratch.keep(single.groupBy("family", "tile").applyInArrow(solver(False), out_schema).select("id", "comp"))
+
+    def solved(members: DataFrame) -> DataFrame:
+        single = members.withColumns({"comp": F.col("id"), "side": F.lit(0)})
+        return scratch.keep(single.groupBy("family", "tile").applyInArrow(solver(False), out_schema).select("id", "comp"))
+
+    one = solved(found.where(F.col("tiles") == 1))
 
     def merged(groups: DataFrame, across: bool) -> DataFrame:
         """(comp, top): components that the groups tie together."""
@@ -267,25 +273,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if placed.where(F.col("tiles") > 1).limit(1).count():
         # sets are written once; what is found out about their ids stays in narrow tables
         many = scratch.keep(found.where(F.col("tiles") > 1).select("id", "shingles", "sig"))
-        state = scratch.keep(placed.where(F.col("tiles") > 1).join(one, "id"))
-        # one member of each component
-        heads = state.where(F.col("id") == F.col("comp"))
-        parts = heads.groupBy("family").agg(tiles_for(F.count("*"), F.sum("n")).alias("parts"))
-        heads = heads.join(parts, "family").select("id", "family", "comp", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"))
-        over = scratch.keep(merged(many.join(scratch.keep(heads), "id"), False))
-        state = scratch.keep(raised(state, over))
-        # members outside of their family's largest component against all
-        by_comp = state.groupBy("family", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-        largest = by_comp.groupBy("family").agg(F.max_by("comp", F.struct("m", "w", "comp")).alias("main"))
-        outside = by_comp.join(largest, "family").where(F.col("comp") != F.col("main")).groupBy("family", "main").agg(tiles_for(F.sum("m"), F.sum("w")).alias("parts"))
-        open_ = scratch.keep(state.join(scratch.keep(outside), "family"))
-        place = lambda tile, part, side: F.struct(tile.alias("tile"), part.alias("part"), F.lit(side).alias("side"))
-        here = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda part: place(F.col("tile"), part, 0))
-        mine = F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")).cast("int")
-        there = F.when(F.col("comp") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda tile: place(tile, mine, 1)))
-        dealt = open_.select("id", "family", "comp", F.explode(F.concat(here, F.coalesce(there, F.array().cast("array<struct<tile:int,part:int,side:int>>")))).alias("at"))
-        last = scratch.keep(merged(many.join(dealt.select("id", "family", "comp", "at.*"), "id"), True))
-        one = scratch.keep(raised(raised(one, over), last))
+        held = placed.where(F.col("tiles") > 1).agg(F.sum("n")).first()[0]
+        logs = spark.sparkContext.broadcast(prefixes.frequencies(many.select("shingles"), prefixes.places_for(held, max_places)))
+
+        def file_rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                got = [prefixes.prefix(np.frombuffer(x, np.uint64), logs.value, num, den) for x in b.column(1).to_pylist()]
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), [len(x) for x in got]))], names=["key", "id"])
+
+        parted = families(many.select("id", "shingles").mapInArrow(file_rarest, "key long, id long"))
+        of_parts = solved(many.join(parted.drop("n"), "id"))
+        one = scratch.keep(one.unionByName(of_parts))
+        if parted.where(F.col("tiles") > 1).limit(1).count():
+            state = scratch.keep(parted.where(F.col("tiles") > 1).join(of_parts, "id"))
+            # one member of each component
+            heads = state.where(F.col("id") == F.col("comp"))
+            parts = heads.groupBy("family").agg(tiles_for(F.count("*"), F.sum("n")).alias("parts"))
+            heads = heads.join(parts, "family").select("id", "family", "comp", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"))
+            over = scratch.keep(merged(many.join(scratch.keep(heads), "id"), False))
+            state = scratch.keep(raised(state, over))
+            # members outside of their family's largest component against all
+            by_comp = state.groupBy("family", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+            largest = by_comp.groupBy("family").agg(F.max_by("comp", F.struct("m", "w", "comp")).alias("main"))
+            outside = by_comp.join(largest, "family").where(F.col("comp") != F.col("main")).groupBy("family", "main").agg(tiles_for(F.sum("m"), F.sum("w")).alias("parts"))
+            open_ = scratch.keep(state.join(scratch.keep(outside), "family"))
+            place = lambda tile, part, side: F.struct(tile.alias("tile"), part.alias("part"), F.lit(side).alias("side"))
+            here = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda part: place(F.col("tile"), part, 0))
+            mine = F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")).cast("int")
+            there = F.when(F.col("comp") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda tile: place(tile, mine, 1)))
+            dealt = open_.select("id", "family", "comp", F.explode(F.concat(here, F.coalesce(there, F.array().cast("array<struct<tile:int,part:int,side:int>>")))).alias("at"))
+            last = scratch.keep(merged(many.join(dealt.select("id", "family", "comp", "at.*"), "id"), True))
+            one = scratch.keep(raised(raised(one, over), last))
         scratch.drop(many)
     linked = classes.join(one, F.col("rep") == F.col("id"), "left").select("hi", "lo", F.coalesce("comp", "rep").alias("component"))
     linked = scratch.keep(linked)

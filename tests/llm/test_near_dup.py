@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from readloom.llm import near_dup
+from readloom.llm import near_dup, prefixes
 from readloom.llm.components import connected_components
 from readloom.llm.common import Scratch
 from readloom.llm.near_dup import near_duplicates
@@ -112,3 +112,47 @@ def test_symbols_follow_the_similarity():
     for i in range(len(b)):
         b[i, rng.choice(48, near_dup.distance(48), replace=False)] ^= 1
     assert ((near_dup.keys(a) == near_dup.keys(b)).any(1)).all()
+
+
+def test_a_common_passage_makes_no_large_family(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    common = [word() for _ in range(40)]
+    rows = [(i, " ".join(common + [word() for _ in range(20)])) for i in range(60)]
+    rows += [(100 + i, text.rsplit(" ", 1)[0]) for i, text in rows[:12]]
+    compared, keep = [], Scratch.keep
+
+    def kept(self, df):
+        out = keep(self, df)
+        if "main" in out.columns:  # what is compared with all tiles of its family
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(near_duplicates(df, tile_rows=5), rows)
+    assert sum(compared) == 0
+    check(near_duplicates(df, tile_rows=5, max_places=1 << 15), rows)
+
+
+def test_linked_sets_share_an_element_of_their_prefixes(spark):
+    rng = np.random.default_rng(3)
+    pairs = []
+    for n in [1, 2, 6, 7, 20, 41, 300] * 20:
+        a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        common = a[:n * 2 // 3] % np.uint64(50)  # held by many
+        a = np.unique(np.concatenate([common, a[n * 2 // 3:]]))
+        out = int(rng.integers(0, max(1, int(len(a) * 0.16))))
+        pairs.append((a, np.unique(rng.permutation(a)[out:])))
+    sets = [x for p in pairs for x in p]
+    df = spark.createDataFrame([(x.tobytes(),) for x in sets], "s binary").repartition(3)
+    logs = prefixes.frequencies(df, 1 << 15)
+    at = np.concatenate(sets) & np.uint64((1 << 15) - 1)
+    assert (logs == np.log2(np.maximum(np.bincount(at.astype(np.int64), minlength=1 << 15), 1)).astype(np.uint8)).all()
+    linked = 0
+    for a, b in pairs:
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 85 * (len(a) + len(b) - both):
+            linked += 1
+            assert len(np.intersect1d(prefixes.prefix(a, logs, 85, 100), prefixes.prefix(b, logs, 85, 100)))
+    assert linked > 50
