@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readloom import ship
 from readloom.codec import bgzf, index, writer
-from readloom.shared import exists, put, qualified, shared_dir
+from readloom.shared import Piece, delete, exists, put, qualified, shared_dir
 
 ship(__name__)
 
@@ -67,33 +74,77 @@ def table_state(spark: SparkSession, path: str) -> str:
 
 TEXT = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in REFS) + "@CO\tderived: from orders\n"
 BLOCK = 60_000  # bytes of records in a block of the file
-ROWS = 250_000  # of the table that the driver gets at a time, in the mean
+ROWS = 250_000  # of the table in a part of the file, at most, but for more in one window
+WINDOW = 256  # places of which rows and bytes are counted together: some 12,000 sums, whatever the table's size
+RECORD_BYTES = "4 + 32 + length(concat('r', record_id)) + 1 + 4 + (span + 1) div 2 + span + 13"
+
+
+def _record(record_id: int, ref_id: int, start: int, n: int, flags: int, mq: int) -> dict:
+    return {
+        "ref_id": ref_id, "start": start, "name": f"r{record_id}", "flags": flags, "mq": mq, "cigar": [n << 4], "seq": "ACGT" * (n // 4) + "ACGT"[: n % 4],
+        "qual": bytes([record_id % 40]) * n, "tags": [("NM", "i", record_id % 7), ("RG", "Z", f"g{record_id % 3}")],
+    }
+
+
+def _encoder(folder: str, begins: list[int]):
+    """Writes each part of sorted rows to a file; a row for each, with what the index needs of it."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("part", "record_id", "ref_id", "start", "span", "flags", "raw_mq")), strict=True))
+        for part, of in groupby(rows, key=itemgetter(0)):
+            path, places = f"{folder}/{part}-{uuid.uuid4().hex}", writer.Gathered()  # another attempt has another name
+            with bgzf.sink(path) as out:
+                for piece in writer.stored_part((_record(*r[1:]) for r in of), begins[part], begins[part + 1], HEAD_SIZE, places, BLOCK):
+                    out.write(piece)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "places": [pickle.dumps((places.refs, places.last))]})
+
+    return encode
 
 
 def bam_file(spark: SparkSession, sf_dir: str) -> str:
     """A coordinate-sorted file of the order reads with its indexes, made once for each state of the table.
 
     Its blocks are stored, not compressed, so that every offset follows from the
-    sizes of the records before it, by arithmetic that SQL can do too.
+    sizes of the records before it, by arithmetic that SQL can do too. So executors
+    encode its parts apart; the driver only joins them, by the JVM's streams.
     """
     key = hashlib.sha1(f"{sf_dir}\n{table_state(spark, f'{sf_dir}/orders.parquet')}".encode()).hexdigest()[:12]
     path = qualified(spark, f"{shared_dir(spark)}/alignments/{key}.bam")
     if exists(spark, path + ".csi"):
         return path
-    reads, order = order_reads(spark, sf_dir), ("ref_id", "start", "record_id")
-    parts = -(-reads.count() // ROWS) or 1
-    rows = reads.repartitionByRange(parts, *order).sortWithinPartitions(*order).toLocalIterator()  # the driver gets a part at a time
-
-    def encoded():
-        for r in rows:
-            n = r.span
-            yield {
-                "ref_id": r.ref_id, "start": r.start, "name": f"r{r.record_id}", "flags": r.flags, "mq": r.raw_mq, "cigar": [n << 4], "seq": "ACGT" * (n // 4) + "ACGT"[: n % 4],
-                "qual": bytes([r.record_id % 40]) * n, "tags": [("NM", "i", r.record_id % 7), ("RG", "Z", f"g{r.record_id % 3}")],
-            }
-
-    places = writer.Gathered()
-    size = put(spark, path, writer.bam_blocks(TEXT, REFS, encoded(), places, BLOCK, 0))
+    reads = order_reads(spark, sf_dir).withColumn("window", F.expr(f"cast(floor(start / {WINDOW}) as int)"))
+    sums = reads.groupBy("ref_id", "window").agg(F.count("*").alias("n"), F.sum(F.expr(RECORD_BYTES)).alias("size")).collect()
+    dealt, begins, rows, total = [], [0], 0, 0
+    for ref, window, n, size in sorted(sums):
+        if rows and rows + n > ROWS:
+            begins.append(total)
+            rows = 0
+        dealt.append((ref, window, len(begins) - 1))
+        rows, total = rows + n, total + size
+    begins.append(total)
+    places, folder = writer.Gathered(), f"{path}.parts-{uuid.uuid4().hex}"
+    try:
+        made = []
+        if dealt:
+            put(spark, f"{folder}/begun", [])  # so that the folder is there
+            parts = F.broadcast(spark.createDataFrame(dealt, "ref_id int, window int, part int"))
+            ordered = reads.join(parts, ["ref_id", "window"]).repartitionById(len(begins) - 1, "part").sortWithinPartitions("part", "ref_id", "start", "record_id")
+            made = sorted(ordered.mapInArrow(_encoder(folder, begins), "part int, path string, places binary").collect())
+            for part, _, found in made:
+                other = writer.Gathered()
+                other.refs, other.last = pickle.loads(found)
+                places.extend(other, writer.stored_offset(begins[part], HEAD_SIZE, BLOCK))
+            if [m.part for m in made] != list(range(len(begins) - 1)):
+                raise ValueError("not every part of the alignment file was written once")
+
+        def files():
+            for m in made:
+                yield m.path, begins[m.part], begins[m.part + 1]
+                delete(spark, m.path)
+
+        size = put(spark, path, writer.joined_parts(TEXT, REFS, files(), Piece, BLOCK))
+    finally:
+        delete(spark, folder)
     for kind in ("bai", "csi"):
         put(spark, f"{path}.{kind}", [writer.index_bytes(places, len(REFS), size - len(bgzf.EOF_BLOCK) << 16, kind)])
     return path

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.sql import SparkSession
 
@@ -41,12 +42,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(at)
 
 
-def put(spark: SparkSession, path: str, parts: Iterable[bytes], size: int = 1 << 20) -> int:
-    """Write a file under another name and rename it; how many bytes it has."""
+class Piece(NamedTuple):
+    """Some bytes of a file."""
+
+    path: str
+    start: int
+    size: int
+
+
+def put(spark: SparkSession, path: str, parts: Iterable[bytes | Piece], size: int = 1 << 20) -> int:
+    """Write a file under another name and rename it; how many bytes it has. Pieces of files go through the JVM's streams."""
     store, at = _at(spark, path)
     _, part = _at(spark, f"{path}.part")
     out, held, n = store.create(part, True), bytearray(), 0
     for p in parts:
+        if isinstance(p, Piece):
+            if held:
+                out.write(bytearray(held))
+                held.clear()
+            whence, there = _at(spark, p.path)
+            read = whence.open(there)
+            got = spark._jvm.org.apache.commons.io.IOUtils.copyLarge(read, out, p.start, p.size)
+            read.close()
+            if got != p.size:
+                raise OSError(f"{p.path} has {got} bytes from {p.start} on, not {p.size}")
+            n += p.size
+            continue
         held += p
         n += len(p)
         if len(held) >= size:
@@ -60,6 +81,12 @@ def put(spark: SparkSession, path: str, parts: Iterable[bytes], size: int = 1 <<
     return n
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if there is one."""
+    store, at = _at(spark, path)
+    store.delete(at, True)
+
+
 def copy(spark: SparkSession, path: str, source: str, start: int = 0) -> None:
     """Write a file of another one's bytes from `start` on, by the JVM's streams."""
     store, at = _at(spark, path)

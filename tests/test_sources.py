@@ -3,12 +3,14 @@
 import base64
 import http.server
 import json
+import os
 import random
 import shutil
 import sys
 import threading
 import tracemalloc
 from collections import Counter
+from itertools import accumulate
 from pathlib import Path
 
 import pytest
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from readloom import shared
 from readloom.codec import bgzf, writer
 from readloom.operators import pairs, reference, region
-from readloom.plans import queries
+from readloom.plans import derive, queries
 from readloom.plans.derive import bam_file
 from readloom.sources import bam as source
 from readloom.sources import htsget
@@ -306,6 +308,68 @@ def test_an_index_is_gathered_without_the_places_of_all_records():
         assert writer.index_bytes(found, 3, 200_000 * 200, kind) == writer.index_bytes(places, 3, 200_000 * 200, kind)
 
 
+def test_executors_encode_the_alignment_file(spark, monkeypatch, tmp_path):
+    """In parts of any size, and as one writer would; the driver encodes no record."""
+    driver, encode = os.getpid(), writer.encode_record
+
+    def elsewhere(r):
+        assert os.getpid() != driver, "a record encoded by the driver"
+        return encode(r)
+
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = [derive._record(*r) for r in derive.order_reads(spark, str(tmp_path)).orderBy("ref_id", "start", "record_id").select("record_id", "ref_id", "start", "span", "flags", "raw_mq").collect()]
+    places = writer.Gathered()
+    whole = b"".join(writer.bam_blocks(derive.TEXT, derive.REFS, rows, places, derive.BLOCK, 0))
+    monkeypatch.setattr(writer, "encode_record", elsewhere)
+    for k in (40, derive.ROWS):
+        monkeypatch.setattr(derive, "ROWS", k)
+        path = bam_file(spark, str(tmp_path))
+        assert bgzf.Source(path).all() == whole
+        for kind in ("bai", "csi"):
+            assert bgzf.Source(f"{path}.{kind}").all() == writer.index_bytes(places, len(derive.REFS), len(whole) - len(bgzf.EOF_BLOCK) << 16, kind)
+        assert not [p for p in Path(path.removeprefix("file://")).parent.iterdir() if ".parts-" in p.name]
+        Path(path.removeprefix("file://") + ".csi").unlink()  # made anew
+
+
+def test_an_alignment_file_of_no_records(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(0).write.parquet(f"{tmp_path}/orders.parquet")
+    path = bam_file(spark, str(tmp_path))
+    assert bgzf.Source(path).all() == b"".join(writer.bam_blocks(derive.TEXT, derive.REFS, [], [], derive.BLOCK, 0))
+    assert source.read_bam(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("block", [150, 240, 1000, 60_000])
+def test_parts_join_to_the_file_that_one_writer_makes(tmp_path, block):
+    rng = random.Random(block)
+    rows = [derive._record(i, r, a, rng.randrange(1, 90), rng.choice([0, 4, 16]), 9) for i, (r, a) in enumerate(sorted((rng.randrange(3), rng.randrange(40_000)) for _ in range(400)))]
+    size, refs = [0, *accumulate(len(writer.encode_record(r)) for r in rows)], derive.REFS
+    base = len(b"".join(writer.bam_blocks("@HD\n", refs, [], [], block, 0))) - len(bgzf.EOF_BLOCK)
+    one = writer.Gathered()
+    whole = b"".join(writer.bam_blocks("@HD\n", refs, rows, one, block, 0))
+    for n in (1, 2, 7, 400):
+        cuts = [0, *sorted(rng.sample(range(1, 400), n - 1)), 400]
+        parts, places = [], writer.Gathered()
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            own = writer.Gathered()
+            (tmp_path / f"{n}-{i}").write_bytes(b"".join(writer.stored_part(rows[a:b], size[a], size[b], base, own, block)))
+            places.extend(own, writer.stored_offset(size[a], base, block))
+            parts.append((str(tmp_path / f"{n}-{i}"), size[a], size[b]))
+        assert b"".join(writer.joined_parts("@HD\n", refs, parts, lambda p, at, k: Path(p).read_bytes()[at:at + k], block)) == whole
+        for kind in ("bai", "csi"):
+            assert writer.index_bytes(places, len(refs), len(whole) - len(bgzf.EOF_BLOCK) << 16, kind) == writer.index_bytes(one, len(refs), len(whole) - len(bgzf.EOF_BLOCK) << 16, kind)
+    with pytest.raises(ValueError, match="counted"):
+        list(writer.stored_part(rows[:2], 0, size[2] + 1, base, writer.Gathered(), block))
+
+
+def test_pieces_of_files_are_written_in_their_place(spark, tmp_path):
+    (tmp_path / "a").write_bytes(bytes(range(200)))
+    made = f"file://{tmp_path}/made"
+    assert shared.put(spark, made, [b"x", shared.Piece(f"file://{tmp_path}/a", 10, 100), b"yz"]) == 103
+    assert (tmp_path / "made").read_bytes() == b"x" + bytes(range(10, 110)) + b"yz"
+    with pytest.raises(OSError, match="190 bytes"):
+        shared.put(spark, made, [shared.Piece(f"file://{tmp_path}/a", 10, 300)])
+
+
 def test_htsget_unpacks_a_reply_part_by_part(tmp_path):
     block = bgzf.deflate(bytes(60_000), 0)
     names = [str(tmp_path / k) for k in ("a", "b")]
